@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitewise import constants as K
-from sitewise.functions.text import SPACE, clean_text, collapse, decode_entities, let, strip
+from sitewise.functions.text import clean_text, collapse, decode_entities, let, strip
 
 # Text nodes are parted by this mark while they are worked on.
 MARK = "\x01"
@@ -23,12 +23,11 @@ MARK = "\x01"
 _TAG_REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
 TAG = r"<[a-zA-Z/!?]" + _TAG_REST
 _HIDDEN = (
-    r"<!--.*?(?:-->|\z)"
-    r"|<script(?:[\s/]" + _TAG_REST + r"|>).*?(?:</script\s*>|\z)"
-    r"|<style(?:[\s/]" + _TAG_REST + r"|>).*?(?:</style\s*>|\z)"
-    r"|<template(?:[\s/]" + _TAG_REST + r"|>).*?(?:</template\s*>|\z)"
+    r"<(?:!--.*?(?:-->|\z)"
+    r"|s(?:cript(?:[\s/]" + _TAG_REST + r"|>).*?(?:</script\s*>|\z)"
+    r"|tyle(?:[\s/]" + _TAG_REST + r"|>).*?(?:</style\s*>|\z))"
+    r"|template(?:[\s/]" + _TAG_REST + r"|>).*?(?:</template\s*>|\z))"
 )
-_NOSCRIPT = r"(?is)<noscript(?:[\s/]" + _TAG_REST + r"|>).*?(?:</noscript\s*>|\z)"
 _ATTRIBUTE = r"""(?s)[^\s=>"'/]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
 _BLOCK = (
     "p|div|section|article|main|aside|header|footer|nav|form|ul|ol|dl|table|"
@@ -48,7 +47,8 @@ def _nodes(markup: Column) -> Column:
 
 def joined_text(markup: Column, separator: str) -> Column:
     """Stripped, non-empty text nodes with a separator between them."""
-    seam = f"(?<!{SPACE}){SPACE}*+{MARK}[{SPACE[1:-1]}{MARK}]*+"
+    # A run of blanks is tried from its first blank only.
+    seam = rf"(?U)(?:\s(?<!\s\s)\s*+)?{MARK}[\s{MARK}]*+"
     return strip(F.regexp_replace(_nodes(markup), seam, separator))
 
 
@@ -109,7 +109,7 @@ def is_followable(href: Column) -> Column:
     return (href != "") & ~href.rlike(f"^(?:{starts})")
 
 
-_OPEN = "array<struct<name:string,seg:int,base:bigint,clutter:boolean>>"
+_OPEN = "array<struct<name:string,seg:int,base:bigint,clutter:boolean,never:boolean>>"
 _CUTS = "array<struct<lo:int,hi:int>>"
 
 
@@ -122,18 +122,17 @@ def declutter(reduced: Column, limit: int = K.CLUTTER_CHARS) -> Column:
     open elements; this gets nesting, stray end tags and elements that are never
     closed right.  Elements with a clutter role take part under their own name.
     """
-    base = F.regexp_replace(reduced, _NOSCRIPT, MARK)
     roles = "|".join(K.CLUTTER_ROLES)
     role_attr = (
         rf"(?s)^<[^>]*?\s(?i:role)\s*=\s*(?:\"(?:{roles})\"|'(?:{roles})'|(?:{roles})(?=[\s/>]))"
     )
-    fixed = "|".join(K.CLUTTER_TAGS)
+    fixed = "|".join(("noscript", *K.CLUTTER_TAGS))
 
     def pieces(markup: Column) -> Column:
-        tags_with_role = F.filter(
+        tags_with_role = F.when(markup.rlike(r"[rR][oO][lL][eE]\s*="), F.filter(
             F.regexp_extract_all(markup, F.lit(r"(?is)<[a-z][^>]*?\srole\s*=[^>]*+>"), F.lit(0)),
             lambda t: t.rlike(role_attr),
-        )
+        )).otherwise(F.array().cast("array<string>"))
         names = F.array_distinct(F.transform(
             tags_with_role, lambda t: F.lower(F.regexp_extract(t, r"^<([a-zA-Z0-9-]+)", 1))
         ))
@@ -144,9 +143,6 @@ def declutter(reduced: Column, limit: int = K.CLUTTER_CHARS) -> Column:
     def described(html: Column, i: Column) -> Column:
         tag = F.regexp_extract(html, "^" + TAG, 0)
         name = F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z0-9-]+)", 1))
-        size = let(
-            F.length(joined_text(html, " ")), lambda n: F.when(n > 0, n + 1).otherwise(0)
-        )
         return F.struct(
             html.alias("html"),
             i.alias("seg"),
@@ -154,32 +150,48 @@ def declutter(reduced: Column, limit: int = K.CLUTTER_CHARS) -> Column:
             tag.startswith("</").alias("closes"),
             ((name != "") & ~tag.startswith("</") & ~tag.endswith("/>")).alias("opens"),
             (name.isin(*K.CLUTTER_TAGS) | tag.rlike(role_attr)).alias("clutter"),
-            size.cast("bigint").alias("size"),
+            (name == "noscript").alias("never"),
+        )
+
+    def text_size(html: Column) -> Column:
+        """Length of the text with one separator more, 0 if there is none."""
+        return let(
+            F.length(joined_text(html, " ")), lambda n: F.when(n > 0, n + 1).otherwise(0)
         )
 
     def cuts_of(closed: Column, total: Column, hi: Column) -> Column:
-        short = F.filter(closed, lambda e: e.clutter & (total - e.base - 1 < limit))
+        short = F.filter(closed, lambda e: e.never | (e.clutter & (total - e.base - 1 < limit)))
         return F.transform(short, lambda e: F.struct(e.seg.alias("lo"), hi.alias("hi")))
 
-    def step(state: Column, piece: Column) -> Column:
-        # How many open elements this piece's end tag closes; 0 if it is stray.
-        depth = F.when(
+    def closed_by(state: Column, piece: Column) -> Column:
+        """How many open elements this piece's end tag closes; 0 if it is stray."""
+        return F.when(
             piece.closes,
             F.array_position(F.reverse(F.transform(state.open, lambda e: e["name"])), piece["name"]),
         ).otherwise(F.lit(0)).cast("int")
+
+    def step(state: Column, piece: Column) -> Column:
+        return let(closed_by(state, piece), lambda depth: let(
+            F.slice(state.open, F.lit(1), F.size(state.open) - depth),
+            lambda still_open: moved(state, piece, depth, still_open),
+        ))
+
+    def moved(state: Column, piece: Column, depth: Column, still_open: Column) -> Column:
         entered = F.array(F.struct(
             piece["name"].alias("name"), piece.seg.alias("seg"), state.total.alias("base"),
-            piece.clutter.alias("clutter"),
+            piece.clutter.alias("clutter"), piece.never.alias("never"),
         ))
-        kept = F.size(state.open) - depth
+        # Text outside of all clutter, most of a page, is not measured; noscript is no text.
+        hidden = (piece.opens & piece.never) | F.exists(still_open, lambda e: e.never)
+        counts = (piece.opens & piece.clutter) | F.exists(still_open, lambda e: e.clutter)
+        size = F.when(counts & ~hidden, text_size(piece.html)).otherwise(F.lit(0)).cast("bigint")
+        closed = F.slice(state.open, F.size(still_open) + 1, depth)
         return F.struct(
-            F.when(piece.opens, F.concat(state.open, entered))
-            .otherwise(F.slice(state.open, F.lit(1), kept)).cast(_OPEN).alias("open"),
-            (state.total + piece.size).alias("total"),
-            F.when(
-                depth > 0,
-                F.concat(state.cuts, cuts_of(F.slice(state.open, kept + 1, depth), state.total, piece.seg)),
-            ).otherwise(state.cuts).cast(_CUTS).alias("cuts"),
+            F.when(piece.opens, F.concat(still_open, entered))
+            .otherwise(still_open).cast(_OPEN).alias("open"),
+            (state.total + size).alias("total"),
+            F.when(depth > 0, F.concat(state.cuts, cuts_of(closed, state.total, piece.seg)))
+            .otherwise(state.cuts).cast(_CUTS).alias("cuts"),
         )
 
     def keep(parts: Column) -> Column:
@@ -200,12 +212,12 @@ def declutter(reduced: Column, limit: int = K.CLUTTER_CHARS) -> Column:
             "",
         ))
 
-    return let(base, lambda markup: let(pieces(markup), keep))
+    return let(reduced, lambda markup: let(pieces(markup), keep))
 
 
 def text_lines(markup: Column) -> Column:
     """Cleaned text, one text node per line."""
-    return clean_text(F.regexp_replace(joined_text(markup, "\n"), r"\n{3,}", "\n\n"))
+    return clean_text(joined_text(markup, "\n"))
 
 
 def region_text(decluttered: Column) -> Column:

@@ -2,13 +2,15 @@
 
 A page's links are bounded by the page itself, so they are resolved, de-duplicated
 and ranked inside its row.  No link ever enters a shuffle before the cut.
+
+What a lambda uses from outside is bound by ``let`` first.  A plain column would do
+the same, but the optimiser may put its definition into the lambda, to be
+worked out again for every element.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,9 +26,8 @@ def slashes(url: Column) -> Column:
 
 def keyword_hits(url: Column) -> Column:
     """How many keywords occur anywhere in the lower-case URL."""
-    return let(F.lower(url), lambda low: reduce(
-        add, [F.contains(low, F.lit(k)).cast("int") for k in K.KEYWORDS]
-    ))
+    found = " + ".join(f"int(contains(u, '{k}'))" for k in K.KEYWORDS)
+    return F.get(F.call_function("transform", F.array(F.lower(url)), F.expr(f"u -> {found}")), F.lit(0))
 
 
 def link_score(url: Column) -> Column:
@@ -41,16 +42,20 @@ def internal_links(
     base: Column, domain: Column, hrefs: Column, suffixes: Sequence[str] = K.DEFAULT_SUFFIXES
 ) -> Column:
     """Normal form of the hrefs which stay on the domain; first seen, in order."""
-    urls = F.transform(hrefs, lambda h: normalize_url(resolve(base, h)))
-    return F.filter(
-        F.array_distinct(urls), lambda u: (u != "") & (domain_key(u, suffixes) == domain)
-    )
+    urls = let(base, lambda b: F.transform(hrefs, lambda h: normalize_url(resolve(b, h))))
+    return on_domain(F.array_distinct(urls), domain, suffixes)
+
+
+def on_domain(urls: Column, domain: Column, suffixes: Sequence[str] = K.DEFAULT_SUFFIXES) -> Column:
+    return let(domain, lambda d: F.filter(
+        urls, lambda u: (u != "") & (domain_key(u, suffixes) == d)
+    ))
 
 
 def common_urls(base: Column) -> Column:
-    return F.transform(
-        F.array(*map(F.lit, K.COMMON_PATHS)), lambda p: normalize_url(resolve(base, p))
-    )
+    return let(base, lambda b: F.transform(
+        F.array(*map(F.lit, K.COMMON_PATHS)), lambda p: normalize_url(resolve(b, p))
+    ))
 
 
 def ranked(scored: Column) -> Column:
@@ -65,20 +70,30 @@ def ranked(scored: Column) -> Column:
 
 def score_links(links: Column, common: Column) -> Column:
     """Scored page links, then the common paths not seen among them."""
-    return F.transform(F.array_union(links, common), lambda u, i: F.struct(
-        F.when(i < F.size(links), link_score(u)).otherwise(K.COMMON_PATH_SCORE).alias("score"),
+    return let(links, lambda own: F.transform(F.array_union(own, common), lambda u, i: F.struct(
+        F.when(i < F.size(own), link_score(u)).otherwise(K.COMMON_PATH_SCORE).alias("score"),
         i.alias("pos"),
         u.alias("url"),
-    ))
+    )))
 
 
 def home_first(home: Column, best: Column, limit: int) -> Column:
     """The home page and the best of the others, ``limit`` in all."""
-    first = F.array(F.struct(
-        F.lit(None).cast("int").alias("score"), F.lit(-1).alias("pos"), home.alias("url")
+    def placed(h: Column) -> Column:
+        first = F.array(F.struct(
+            F.lit(None).cast("int").alias("score"), F.lit(-1).alias("pos"), h.alias("url")
+        ))
+        others = F.filter(best, lambda s: s.url != h)
+        return F.concat(first, F.slice(others, 1, limit - 1))
+
+    return let(home, placed)
+
+
+def not_in(found: Column, known: Column) -> Column:
+    """Structs whose URL is not among those of ``known``."""
+    return let(F.transform(known, lambda s: s.url), lambda urls: F.filter(
+        found, lambda s: ~F.array_contains(urls, s.url)
     ))
-    others = F.filter(best, lambda s: s.url != home)
-    return F.concat(first, F.slice(others, 1, limit - 1))
 
 
 def sitemap_locations(xml: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +47,24 @@ def parent(tail: Column) -> Column:
     return F.regexp_extract(tail, r"^[^.]*\.(.*)$", 1)
 
 
+@cache
+def _suffix_test(suffixes: tuple[str, ...]) -> str:
+    """A SQL lambda which tells whether a tail is a public suffix."""
+    if len(suffixes) > K.MAX_INLINE_SUFFIXES:
+        raise ValueError(f"{len(suffixes)} suffix rules; join them as a table instead")
+    rules = [s.lower().replace("\\", "").replace("'", "") for s in suffixes]
+
+    def among(value: str, names: list[str]) -> str:
+        return f"{value} in (" + ", ".join(f"'{n}'" for n in names) + ")"
+
+    test = among("t", [r for r in rules if r[0] not in "*!"] or [""])
+    if wild := [r[2:] for r in rules if r.startswith("*.")]:
+        test = f"({test} or " + among("regexp_extract(t, '^[^.]*[.](.*)$', 1)", wild) + ")"
+    if exempt := [r[1:] for r in rules if r.startswith("!")]:
+        test = f"{test} and not " + among("t", exempt)
+    return f"t -> {test}"
+
+
 def domain_of(location: Column, suffixes: Sequence[str] = K.DEFAULT_SUFFIXES) -> Column:
     """Registrable domain of a network location, else the location itself.
 
@@ -53,22 +72,11 @@ def domain_of(location: Column, suffixes: Sequence[str] = K.DEFAULT_SUFFIXES) ->
     wildcard (``*.x``) and exception (``!x``) rules are understood.  For rule
     lists too long to inline use :func:`sitewise.operators.domains.with_domain`.
     """
-    rules = [s.lower() for s in suffixes]
-    if len(rules) > K.MAX_INLINE_SUFFIXES:
-        raise ValueError(f"{len(rules)} suffix rules; join them as a table instead")
-    plain = [r for r in rules if r[0] not in "*!"]
-    wild = [r[2:] for r in rules if r.startswith("*.")]
-    exempt = [r[1:] for r in rules if r.startswith("!")]
-
-    def is_suffix(tail: Column) -> Column:
-        hit = tail.isin(plain)
-        if wild:
-            hit = hit | parent(tail).isin(wild)
-        return hit & ~tail.isin(exempt) if exempt else hit
+    test = _suffix_test(tuple(suffixes))
 
     def registrable(tails: Column) -> Column:
         # Longest suffix first; the tail before it is the domain.
-        flags = F.transform(tails, is_suffix)
+        flags = F.call_function("transform", tails, F.expr(test))
         return let(
             F.array_position(flags, True).cast("int"),
             lambda at: F.when(at > 1, F.get(tails, at - 2)),

@@ -12,13 +12,17 @@ from sitewise import constants as K
 from sitewise.functions import html as H
 from sitewise.functions import links as L
 from sitewise.functions import urls as U
+from sitewise.functions.text import let
+from sitewise.operators.stages import settled
 
 
 def page_links(fetches: DataFrame) -> DataFrame:
     """One row per anchor with an href: ``pos`` and ``href``, html dropped."""
     found = fetches.withColumn("_hrefs", H.hrefs(H.reduce_html(F.col("html")))).drop("html")
     kept = [c for c in found.columns if c != "_hrefs"]
-    return found.select(*kept, F.posexplode("_hrefs").alias("pos", "href"))
+    # The outer form: the plain one adds a filter on the array, which works it out twice.
+    rows = found.select(*kept, F.posexplode_outer("_hrefs").alias("pos", "href"))
+    return rows.where(F.col("pos").isNotNull())
 
 
 def scored_links(
@@ -42,9 +46,9 @@ def scored_links(
 
 
 def _as_rows(planned: DataFrame, plan: str) -> DataFrame:
-    """Explode a plan array into rows ``pos``, ``url``, ``score``."""
+    """Explode a plan array, which always has the home page, into rows."""
     kept = [c for c in planned.columns if not c.startswith("_")]
-    return planned.select(*kept, F.posexplode(plan).alias("pos", "_link")).select(
+    return planned.select(*kept, F.posexplode_outer(plan).alias("pos", "_link")).select(
         *kept, "pos", F.col("_link.url").alias("url"), F.col("_link.score").alias("score")
     )
 
@@ -78,16 +82,14 @@ def sitemap_urls(
     ``row_id, base_url, path`` and the array ``urls`` in file order.
     """
     domain = U.domain_key(F.col("base_url"), suffixes)
-    found = (
+    found = settled(
         sitemaps.where(F.col("status_code") < 400)
         .withColumn("_domain", domain)
         .withColumn("_all", L.sitemap_locations(F.coalesce(F.col("xml"), F.lit(""))))
         .drop("xml")
-        .withColumn("urls", F.filter(
-            F.col("_all"), lambda u: (u != "") & (U.domain_key(u, suffixes) == F.col("_domain"))
-        ))
-        .where(F.size("urls") > 0)
-    )
+        .withColumn("urls", L.on_domain(F.col("_all"), F.col("_domain"), suffixes)),
+        "urls",
+    ).where(F.size("urls") > 0)
     rank = F.array_position(F.array(*map(F.lit, K.SITEMAP_PATHS)), F.col("path"))
     best = W.partitionBy("row_id").orderBy("_rank")
     return (
@@ -137,21 +139,21 @@ def merge_hints(
     ).drop("hints")
     links_only = L.home_first(F.col("_home"), F.col("_ranked"), max_pages)
     if mode == "leftover":
-        both = both.withColumn("_links", links_only).withColumn("_new", F.filter(
-            F.slice(F.col("_hints"), F.lit(1), F.greatest(F.lit(max_pages) - F.size("_links"), F.lit(0))),
-            lambda h: ~F.exists(F.col("_links"), lambda s: s.url == h.url),
+        places = F.greatest(F.lit(max_pages) - F.size("_links"), F.lit(0))
+        both = both.withColumn("_links", links_only).withColumn("_plan", F.concat(
+            F.col("_links"),
+            L.not_in(F.slice(F.col("_hints"), F.lit(1), places), F.col("_links")),
         ))
-        both = both.withColumn("_plan", F.concat("_links", "_new"))
     else:
-        both = both.withColumn("_new", F.filter(
-            F.col("_hints"), lambda h: ~F.exists(F.col("_ranked"), lambda s: s.url == h.url)
-        ))
-        placed = F.transform(F.col("_new"), lambda h: F.struct(
-            h.score.alias("score"), (h.pos + F.size("_ranked")).alias("pos"), h.url.alias("url")
+        placed = let(F.size("_ranked"), lambda n: F.transform(
+            L.not_in(F.col("_hints"), F.col("_ranked")),
+            lambda h: F.struct(
+                h.score.alias("score"), (h.pos + n).alias("pos"), h.url.alias("url")
+            ),
         ))
         both = both.withColumn("_all", L.ranked(F.concat(F.col("_ranked"), placed)))
         both = both.withColumn("_plan", L.home_first(F.col("_home"), F.col("_all"), max_pages))
-    return _as_rows(both.drop("_links", "_new", "_all", "_ranked"), "_plan")
+    return _as_rows(both.drop("_links", "_all", "_ranked"), "_plan")
 
 
 def unvisited(plan: DataFrame, visited: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sitewise import constants as K
 from sitewise.functions import html as H
 from sitewise.functions.text import to_millis, utf8_bytes
+from sitewise.operators.stages import settled
 
 
 def usable_html(fetches: DataFrame) -> DataFrame:
@@ -129,6 +130,5 @@ def render_queue(fetches: DataFrame, min_text: int = K.MIN_TEXT) -> DataFrame:
             F.col("html"), F.col("_visible"), F.col("text_len"), min_text
         ))
     )
-    return staged.drop("html", "_reduced", "_visible", "_decluttered").where(
-        F.col("reason").isNotNull()
-    )
+    queue = settled(staged.drop("html", "_reduced", "_visible", "_decluttered"), "reason")
+    return queue.where(F.col("reason").isNotNull())

@@ -153,10 +153,11 @@ def test_declutter_structure(values):
         "<svg/>a<header-x>b</header-x>",                    # empty element, longer name
         "<NAV>a</NAV>b<head>c</head>",
         "<form>" + "f" * 100 + "<header>" + "h" * 500 + "</header></form>",
+        "<nav>" + "n" * 350 + "<noscript>" + "s" * 100 + "</noscript></nav>a",   # no text there
     ]
     want = [
         "d", f"{'q' * 500}\nc\nd", "d", "a\nc", "x\ny", "x", "c\nd", "a\nb", "b\nc",
-        "f" * 100 + "\n" + "h" * 500,
+        "f" * 100 + "\n" + "h" * 500, "a",
     ]
     assert values(_decluttered, rows) == want
 
