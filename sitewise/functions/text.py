@@ -59,20 +59,46 @@ def clean_text(text: Column) -> Column:
     return strip(fixed(out, "  ", " {2,}", " "))
 
 
-@cache
-def _entity_map_sql() -> str:
-    chars = {"apos": 39} | name2codepoint
-    return "map(" + ", ".join(f"'{n}', '\\u{c:04x}'" for n, c in chars.items()) + ")"
+def _quoted(char: str) -> str:
+    return "'" + "".join(f"\\u{ord(c):04x}" for c in char) + "'"
 
 
-def _char_of(code: Column) -> Column:
-    """The character of a code point given as a base-10 or base-16 string."""
-    number = F.when(
-        F.lower(code.substr(1, 1)) == "x", F.conv(F.substring(code, 2, 10), 16, 10)
-    ).otherwise(code).cast("int")
-    usable = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-    utf32 = F.unhex(F.lpad(F.hex(number), 8, "0"))
-    return F.when(usable, F.decode(utf32, "UTF-32"))
+@cache
+def _decoder() -> str:
+    """A SQL lambda which decodes the character references of a text.
+
+    In SQL because it is used in many places: one call builds it.
+    """
+    def bind(value: str, name: str, body: str) -> str:
+        return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+    usual = "t"
+    for name, char in _USUAL_ENTITIES:
+        usual = f"replace({usual}, '&{name};', {_quoted(char)})"
+    names = {"apos": 39} | name2codepoint
+    pairs = ", ".join(f"'{n}', {_quoted(chr(c))}" for n, c in names.items())
+    number = (
+        "try_cast(if(lower(substring(ref, 2, 1)) = 'x', conv(substring(ref, 3), 16, 10), "
+        "substring(ref, 2)) as int)"
+    )
+    by_number = bind(number, "code", (
+        "if(code between 1 and 55295 or code between 57344 and 1114111, "
+        "decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32'), null)"
+    ))
+    char = (
+        f"case when ref = '' then null when startswith(ref, '#') then {by_number} "
+        f"else try_element_at(map({pairs}), ref) end"
+    )
+    shape = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});"
+    piece = bind(f"regexp_extract(piece, '{shape}', 1)", "ref", bind(
+        char, "char",
+        "if(char is null, concat('&', piece), concat(char, substring(piece, length(ref) + 2)))",
+    ))
+    each = bind("split(v, '&')", "parts", (
+        f"concat(parts[0], array_join(transform(slice(parts, 2, size(parts)), piece -> {piece}), ''))"
+    ))
+    rest = f"if(v rlike '&(?!amp;)[#a-zA-Z][a-zA-Z0-9]*;', {each}, replace(v, '&amp;', '&'))"
+    return f"t -> if(contains(t, '&'), {bind(usual, 'v', rest)}, t)"
 
 
 def decode_entities(text: Column) -> Column:
@@ -81,36 +107,7 @@ def decode_entities(text: Column) -> Column:
     ``&amp;lt;`` gives ``&lt;``, and a reference needs its semicolon.  The usual few
     are replaced first; only texts which hold others are cut up at ``&``.
     """
-    def usual(value: Column) -> Column:
-        for name, char in _USUAL_ENTITIES:
-            value = F.replace(value, F.lit(f"&{name};"), F.lit(char))
-        return let(value, lambda v: F.when(
-            v.rlike("&(?!amp;)[#a-zA-Z][a-zA-Z0-9]*;"), _decode_each(v)
-        ).otherwise(F.replace(v, F.lit("&amp;"), F.lit("&"))))
-
-    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), usual(t)).otherwise(t))
-
-
-def _decode_each(text: Column) -> Column:
-    shape = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});"
-    names = F.expr(_entity_map_sql())
-
-    def decoded(piece: Column) -> Column:
-        return let(
-            F.regexp_extract(piece, shape, 1),
-            lambda ref: let(
-                F.when(ref == "", F.lit(None))
-                .when(ref.startswith("#"), _char_of(F.substring(ref, 2, 10)))
-                .otherwise(F.try_element_at(names, ref)),
-                lambda char: F.when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(
-                    F.concat(char, F.substring(piece, F.length(ref) + 2, F.length(piece)))
-                ),
-            ),
-        )
-
-    pieces = F.split(text, "&")
-    rest = F.slice(pieces, F.lit(2), F.size(pieces))
-    return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(rest, decoded), ""))
+    return F.get(F.call_function("transform", F.array(text), F.expr(_decoder())), F.lit(0))
 
 
 def truncate(text: Column, limit: int) -> Column:

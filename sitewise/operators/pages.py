@@ -69,6 +69,17 @@ def cap_pages(pages: DataFrame, max_pages: int = K.MAX_PAGES) -> DataFrame:
     )
 
 
+def first_pages(pages: DataFrame, max_pages: int = K.MAX_PAGES) -> DataFrame:
+    """The first pages of each site, their columns untouched.
+
+    What this drops of a part of a site's pages can never be among the first pages
+    of the whole site.
+    """
+    order = W.partitionBy("row_id").orderBy("pos")
+    ranked = pages.withColumn("_n", F.row_number().over(order))
+    return ranked.where(F.col("_n") <= max_pages).drop("_n")
+
+
 def within_budget(
     pages: DataFrame,
     budget_sec: float = K.TIME_BUDGET_SEC,

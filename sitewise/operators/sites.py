@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitewise import constants as K
@@ -34,16 +35,31 @@ def combine_texts(
     pages: DataFrame, key: str, order: str, url: str, text: str,
     max_chars: int = K.MAX_CHARS_FULL,
 ) -> DataFrame:
-    """Ordered combined text per key; for groups bounded by an earlier cut.
+    """Ordered combined text per key, cut to ``max_chars``; for groups of any size.
 
-    Each text is cut to ``max_chars`` ahead of the shuffle: what lies beyond can
-    never be part of the result.
+    Every part brings its URL line and rule, so the result is full after a known
+    number of parts, and the rest of a group is dropped ahead of the exchange.  Of
+    those left, only parts which start within ``max_chars`` are collected.
     """
+    overhead = len(RULE) + len("URL: \n") + 4
+    most = max_chars // overhead + 2
+    empty = F.coalesce(F.col(text), F.lit("")) == ""
+    ranked = W.partitionBy(key).orderBy("_empty", order)
+    before = ranked.rowsBetween(W.unboundedPreceding, -1)
+    parts = (
+        pages.select(
+            key, F.col(order).alias(order), F.col(url).alias("_url"), empty.alias("_empty"),
+            F.substring(F.col(text), 1, max_chars).alias("_text"),
+        )
+        .withColumn("_n", F.row_number().over(ranked))
+        .where(F.col("_n") <= most)
+        .withColumn("_start", F.coalesce(F.sum(F.length("_text")).over(before), F.lit(0)))
+        .where(F.col("_start") <= max_chars)
+    )
     listed = F.array_sort(F.collect_list(F.struct(
-        F.col(order).alias("pos"), F.col(url).alias("url"),
-        F.substring(F.col(text), 1, max_chars).alias("text"),
+        F.col("_n").alias("pos"), F.col("_url").alias("url"), F.col("_text").alias("text")
     )))
-    return pages.groupBy(key).agg(listed.alias("_parts")).select(
+    return parts.groupBy(key).agg(listed.alias("_parts")).select(
         key, F.substring(combined(F.col("_parts")), 1, max_chars).alias("combined_text")
     )
 

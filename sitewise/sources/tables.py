@@ -23,15 +23,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def read_site_list(spark: SparkSession, path: str) -> DataFrame:
+def read_site_list(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A site list in Parquet or CSV; raises unless it has a ``website`` column.
 
-    CSV values stay strings.  ``ord`` is the position in the file, from 0.
+    CSV values stay strings.  ``ord`` is the position in the file, from 0.  Lists with
+    no line ends inside values can turn ``multi_line`` off: one large CSV file is then
+    read by many tasks.
     """
     if path.lower().rstrip("/").endswith(".parquet"):
         sheet = spark.read.parquet(path)
     else:
-        sheet = spark.read.options(**CSV_OPTIONS).csv(path)
+        sheet = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).csv(path)
     if "website" not in sheet.columns:
         raise ValueError(f"{path}: the site list needs a 'website' column")
     if "ord" not in sheet.columns:
@@ -64,18 +66,20 @@ def _with_ordinal(rows: DataFrame) -> DataFrame:
 
 
 def read_site_files(
-    spark: SparkSession, root: str, extension: str = ".csv", max_columns: int = 256
+    spark: SparkSession, root: str, extension: str = ".csv", max_columns: int = 256,
+    multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """All site lists under a folder, and the files which could not be used.
 
     Files are chosen by extension at any depth, and each goes by its own header line: they
     may differ in columns and in column order.  Result: ``input_file`` (the path below
     ``root``), ``ord, website, row_id, attributes`` (a map of the other columns), and the
-    failures ``input_file, message``.  A bad file does not stop the others.
+    failures ``input_file, message``.  A bad file does not stop the others.  For
+    ``multi_line`` see :func:`read_site_list`.
     """
     columns = ", ".join(f"c{i} string" for i in range(max_columns + 1))
     raw = spark.read.schema(columns).options(
-        header="false", multiLine="true", escape='"',
+        header="false", multiLine=multi_line, escape='"',
         recursiveFileLookup="true", pathGlobFilter="*" + _any_case(extension),
     ).csv(root)
     path = F.col("_metadata.file_path")

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitewise.operators.pages import page_content
+from sitewise import constants as K
+from sitewise.operators.pages import first_pages, page_content
 from sitewise.operators.reports import status_counts
 from sitewise.plans.site_output import site_results
 
@@ -35,25 +36,27 @@ def run_incremental_sites(
     to_fetches=lambda df: df,
     slices: int = SLICES,
     max_files_per_trigger: int | None = None,
+    max_pages: int = K.MAX_PAGES,
     **limits: float,
 ) -> None:
     """Process what is new under ``source`` and stop; call again for more.
 
     Each batch stores its page content under its ``batch_id`` and recomputes the sites
-    it touched from all content up to that batch.  Rerunning on the same checkpoint
-    does nothing; replaying a batch gives the same rows again.
+    it touched from all content up to that batch.  Of a site with very many pages only
+    the first ``max_pages`` of each batch are stored, as no others can count.  Rerunning
+    on the same checkpoint does nothing; replaying a batch gives the same rows again.
     """
     content_path, results_path = f"{work}/content", f"{work}/results"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        content = page_content(to_fetches(batch)).withColumn(
+        content = first_pages(page_content(to_fetches(batch)), max_pages).withColumn(
             "slice", F.pmod(F.xxhash64("row_id"), F.lit(slices)).cast("int")
         )
         _replace_batch(content.repartition("slice"), content_path, batch_id, "slice")
         stored = spark.read.parquet(content_path).where(F.col("batch_id") <= batch_id)
         touched = stored.where(F.col("batch_id") == batch_id).select("slice", "row_id").distinct()
         again = stored.join(touched, ["slice", "row_id"], "left_semi").drop("batch_id", "slice")
-        _replace_batch(site_results(again, **limits), results_path, batch_id)
+        _replace_batch(site_results(again, max_pages=max_pages, **limits), results_path, batch_id)
 
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
