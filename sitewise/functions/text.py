@@ -30,6 +30,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+@cache
+def on(function: Callable[..., Column], *names: str) -> Column:
+    """``function`` over columns given by name, built once per process.
+
+    Building one of the longer functions takes hundreds of calls from the client to
+    the JVM; a column is immutable and serves any number of plans.
+    """
+    return function(*map(F.col, names))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 

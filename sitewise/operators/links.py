@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from sitewise import constants as K
 from sitewise.functions import html as H
 from sitewise.functions import links as L
 from sitewise.functions import urls as U
-from sitewise.functions.text import let
+from sitewise.functions.text import let, on
 from sitewise.operators.stages import settled
 
 
@@ -29,22 +29,35 @@ def scored_links(
     homes: DataFrame, suffixes: Sequence[str] = K.DEFAULT_SUFFIXES, keep_html: bool = False
 ) -> DataFrame:
     """Pages (``final_url``, ``html``) with ``_home`` and their ``_ranked`` links."""
+    own = tuple(suffixes) == K.DEFAULT_SUFFIXES
+    domain = on(U.domain_key, "final_url") if own else U.domain_key(F.col("final_url"), suffixes)
+    links = (
+        on(L.internal_links, "_base", "_domain", "_hrefs") if own
+        else L.internal_links(F.col("_base"), F.col("_domain"), F.col("_hrefs"), suffixes)
+    )
     return (
-        homes.withColumn("_reduced", H.reduce_html(F.col("html")))
-        .withColumn("_hrefs", F.filter(H.hrefs(F.col("_reduced")), H.is_followable))
-        .withColumn("_base", U.url_parts(F.col("final_url")))
-        .withColumn("_domain", U.domain_key(F.col("final_url"), suffixes))
-        .withColumn("_home", U.normalize_url(F.col("final_url")))
-        .drop("_reduced", *(() if keep_html else ("html",)))
-        .withColumn("_links", L.internal_links(
-            F.col("_base"), F.col("_domain"), F.col("_hrefs"), suffixes
-        ))
-        .withColumn("_common", L.common_urls(F.col("_base")))
-        .withColumn("_ranked", L.ranked(L.score_links(F.col("_links"), F.col("_common"))))
+        homes.withColumn("_hrefs", on(followable, "html"))
+        .withColumns({
+            "_base": on(U.url_parts, "final_url"),
+            "_domain": domain,
+            "_home": on(U.normalize_url, "final_url"),
+        })
+        .drop(*(() if keep_html else ("html",)))
+        .withColumns({"_links": links, "_common": on(L.common_urls, "_base")})
+        .withColumn("_ranked", on(ranked_links, "_links", "_common"))
         .drop("_hrefs", "_base", "_domain", "_links", "_common")
     )
 
 
+def followable(html: Column) -> Column:
+    """The hrefs of a page which may be followed."""
+    return F.filter(H.hrefs(H.reduce_html(html)), H.is_followable)
+
+
+def ranked_links(links: Column, common: Column) -> Column:
+    return L.ranked(L.score_links(links, common))
+
+
 def _as_rows(planned: DataFrame, plan: str) -> DataFrame:
     """Explode a plan array, which always has the home page, into rows."""
     kept = [c for c in planned.columns if not c.startswith("_")]

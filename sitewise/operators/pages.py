@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitewise import constants as K
 from sitewise.functions import html as H
-from sitewise.functions.text import to_millis, utf8_bytes
+from sitewise.functions.text import on, to_millis, utf8_bytes
 from sitewise.operators.stages import settled
 
 
@@ -30,26 +30,28 @@ def page_content(
     The reduced and the decluttered page get a projection each, so that no
     pattern runs twice on a page.
     """
-    out = (
-        usable_html(fetches)
-        .withColumn("_reduced", H.reduce_html(F.col("html")))
-        .withColumn("_decluttered", H.declutter(F.col("_reduced")))
-        .withColumn("main_text", H.main_text(F.col("_decluttered"), extract_chars))
-        .withColumn("has_html", F.col("html").isNotNull())
-        .withColumn("bytes", utf8_bytes(F.col("html")))
-        .withColumn("text_len", F.length("main_text"))
-    )
+    out = usable_html(fetches).withColumns({
+        "_reduced": on(H.reduce_html, "html"),
+        "has_html": F.col("html").isNotNull(),
+        "bytes": utf8_bytes(F.col("html")),
+    }).drop("html")
+    found = {"_decluttered": on(H.declutter, "_reduced")}
+    shown = {"main_text": H.main_text(F.col("_decluttered"), extract_chars)}
+    if extract_chars == K.MIN_EXTRACT_CHARS:
+        shown["main_text"] = on(H.main_text, "_decluttered")
     if metadata:
         first = F.get(F.col("_headings"), F.lit(0))
-        out = (
-            out.withColumn("_headings", H.headings(F.col("_reduced")))
-            .withColumn("meta_description", H.meta_description(F.col("_reduced")))
-            .withColumn("title", F.coalesce(
-                F.nullif(H.title(F.col("_reduced")), F.lit("")), first, F.lit("")
-            ))
-            .withColumn("headings", F.to_json("_headings"))
-        )
-    return out.drop("html", "_reduced", "_decluttered", "_headings")
+        found |= {
+            "_headings": on(H.headings, "_reduced"),
+            "_title": on(H.title, "_reduced"),
+            "meta_description": on(H.meta_description, "_reduced"),
+        }
+        shown |= {
+            "title": F.coalesce(F.nullif(F.col("_title"), F.lit("")), first, F.lit("")),
+            "headings": F.to_json("_headings"),
+        }
+    out = out.withColumns(found).withColumns(shown).withColumn("text_len", F.length("main_text"))
+    return out.drop("_reduced", "_decluttered", "_headings", "_title")
 
 
 def cap_pages(pages: DataFrame, max_pages: int = K.MAX_PAGES) -> DataFrame:
@@ -131,15 +133,12 @@ def render_reason(
 
 def render_queue(fetches: DataFrame, min_text: int = K.MIN_TEXT) -> DataFrame:
     """Fetches which need a browser, each with its reason."""
-    staged = (
-        usable_html(fetches)
-        .withColumn("_reduced", H.reduce_html(F.col("html")))
-        .withColumn("_visible", H.full_text(F.col("_reduced")))
-        .withColumn("_decluttered", H.declutter(F.col("_reduced")))
-        .withColumn("text_len", F.length(H.main_text(F.col("_decluttered"))))
-        .withColumn("reason", render_reason(
-            F.col("html"), F.col("_visible"), F.col("text_len"), min_text
-        ))
+    staged = usable_html(fetches).withColumn("_reduced", on(H.reduce_html, "html")).withColumns({
+        "_visible": on(H.full_text, "_reduced"),
+        "_decluttered": on(H.declutter, "_reduced"),
+    }).withColumn("text_len", F.length(on(H.main_text, "_decluttered"))).withColumn(
+        "reason",
+        render_reason(F.col("html"), F.col("_visible"), F.col("text_len"), min_text),
     )
     queue = settled(staged.drop("html", "_reduced", "_visible", "_decluttered"), "reason")
     return queue.where(F.col("reason").isNotNull())
