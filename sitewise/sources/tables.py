@@ -131,9 +131,19 @@ def read_earlier_output(spark: SparkSession, path: str) -> DataFrame:
     """Earlier output, or an empty table of its schema when there is none."""
     try:
         if path.lower().rstrip("/").endswith(".csv"):
-            return spark.read.options(**CSV_OPTIONS).csv(path)
+            return _typed(spark.read.options(**CSV_OPTIONS).csv(path))
         return spark.read.parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], S.SITE_OUTPUT)
+
+
+def _typed(output: DataFrame) -> DataFrame:
+    """Give a CSV copy the types of the output; '' comes back from CSV as null."""
+    known = [f for f in S.SITE_OUTPUT if f.name in output.columns]
+    return output.withColumns({
+        f.name: F.coalesce(F.col(f.name), F.lit("")) if f.name in S.EMPTY_TEXT_COLUMNS
+        else F.col(f.name).try_cast(f.dataType)
+        for f in known
+    })
