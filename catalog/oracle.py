@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from sitewise import constants as K
 
-# White space for RE2 and for trim.
+# White space in RE2, tags, parts without text.
 SPACE = r"\s\x0B\x85\pZ"
-TRIM = r"'[' || '\s\x0B\x85\pZ' || ']+'"
 TAG = r"<[a-zA-Z/!?][^>]*>"
 HIDDEN = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 RULE = "-" * 80

@@ -148,7 +148,8 @@ def clean_text(spark, d):
     noisy = F.replace(
         F.replace(F.col("text"), F.lit(". "), F.lit(". \t ")), F.lit("\n"), F.lit("\n\n\n\n")
     )
-    return I.table(spark, d, "documents").select("doc_id", X.clean_text(noisy).alias("text"))
+    documents = tables.spread(I.table(spark, d, "documents"))
+    return documents.select("doc_id", X.clean_text(noisy).alias("text"))
 
 
 def _reduced(spark, d):
