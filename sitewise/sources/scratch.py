@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new path under the shared folder of ``spark.checkpoint.dir``.
 
-    Where the setting is missing only a local session may go on, with a temporary
-    folder: on a cluster such a folder is not shared.
+    Where the setting is missing, under the session's warehouse, which its executors
+    share as well. Never a temporary folder of one machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "")
-    if not root:
-        if not (spark.conf.get("spark.master", "") or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="sitewise-")
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/sitewise/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage and, unlike
+    a cached table, survives the loss of an executor."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
