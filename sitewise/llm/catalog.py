@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitewise.llm.license_scan import scan_licenses
 from sitewise.llm.line_dedup import drop_frequent_lines
 
 QUERIES = {}
@@ -41,3 +42,10 @@ SELECT e.doc_id, count(*) AS n_lines, count(b.k) AS n_dropped,
 FROM exploded e LEFT JOIN bad b ON e.k = b.k
 GROUP BY e.r, e.doc_id
 """
+
+
+@query
+def op10_license_scan(spark, d):
+    return scan_licenses(table(spark, d, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
