@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sitewise.llm.license_scan import scan_licenses
 from sitewise.llm.line_dedup import drop_frequent_lines
+from sitewise.llm.quality_rules import judge_quality
 
 QUERIES = {}
 ORACLE = {}
@@ -49,3 +50,13 @@ def op10_license_scan(spark, d):
     return scan_licenses(table(spark, d, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )
+
+
+@query
+def op1_quality_rules(spark, d):
+    """The trusted target is every document labelled as good."""
+    trusted = table(spark, d, "labels").where("quality = 1").select("doc_id")
+    out = judge_quality(table(spark, d, "documents"), trusted)
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"
+    )

@@ -52,7 +52,7 @@ def _family(keyword, label, names, versions=(), spdx=None):
         own = f"{label}-{v}"
         rules.append((keyword, own, rf"spdx license identifier {(spdx or label).replace('-', ' ')} {tail}(?: only| or later)?", 4))
         for name in names:
-            rules.append((keyword, own, rf"{name}(?: {LICENSE})?(?: \w+)?(?: version| v)? ?{tail}", 3))
+            rules.append((keyword, own, rf"{name}(?: {LICENSE})?(?: version| v)? ?{tail}", 3))
     rules.append((keyword, label, rf"spdx license identifier {(spdx or label).replace('-', ' ')}", 4))
     for name in names:
         rules.append((keyword, label, rf"{name} {LICENSE}", 2))
