@@ -49,7 +49,8 @@ def gram_counts(docs: DataFrame, buckets: int = BUCKETS, text: str = "text") ->
 
 
 def bin_weights(target: DataFrame, corpus: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
-    """One row with ``buckets`` log ratios, in the order of the bins."""
+    """One row with ``buckets`` log ratios, in the order of the bins; in whole thousandths, so
+    that sums do not depend on the order of adding."""
     both = (
         target.withColumn("t", F.col("n")).withColumn("c", F.lit(0).cast("long"))
         .unionByName(corpus.withColumn("t", F.lit(0).cast("long")).withColumn("c", F.col("n")))
@@ -66,7 +67,8 @@ def bin_weights(target: DataFrame, corpus: DataFrame, buckets: int = BUCKETS, sm
         F.log((b["t"] + smoothing) / (F.col("ts") + smoothing * buckets))
         - F.log((b["c"] + smoothing) / (F.col("cs") + smoothing * buckets))
     )
-    return row.select(F.transform("bins", ratio).alias("weights"))
+    whole = lambda b: F.round(1000 * ratio(b)).cast("int")
+    return row.select(F.transform("bins", whole).alias("weights"))
 
 
 def judge_quality(
@@ -123,14 +125,16 @@ def judge_quality(
         F.lit(0).cast("long"), lambda acc, x: acc + x,
     )
 
-    weight = weights.scalar()
-    total = F.aggregate(_grams(F.col("w"), buckets), F.lit(0.0), lambda acc, g: acc + F.get(weight, g.cast("int")))
+    # ``buckets`` whole numbers, as one constant of the plan.
+    weight = F.split(F.lit(",".join(map(str, weights.first()["weights"]))), ",").cast("array<int>")
+    grams = _grams(F.col("w"), buckets)
+    total = F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc + F.get(weight, g.cast("int")).cast("long"))
     w = w.select(
         "row", "n", F.length(F.translate("t", WHITE, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        F.when(F.col("n") > 0, total / (2 * F.col("n") - 1)).otherwise(0.0).alias("raw"),
+        F.when(F.col("n") > 0, total / 1000 / (2 * F.col("n") - 1)).otherwise(0.0).alias("raw"),
     ).select("*", F.explode(F.array(F.round("raw", 6))).alias("score"))
     failed = (F.col("n") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n"))
     return w.select(
