@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitewise.llm.decontaminate import contamination
 from sitewise.llm.license_scan import scan_licenses
 from sitewise.llm.line_dedup import drop_frequent_lines
 from sitewise.llm.quality_rules import judge_quality
@@ -60,3 +61,37 @@ def op1_quality_rules(spark, d):
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"
     )
+
+
+@query
+def op8_decontaminate(spark, d):
+    out = contamination(table(spark, d, "documents"), table(spark, d, "benchmark"), window=10)
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+_TERMS = r"""[x FOR x IN string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> '']"""
+
+ORACLE["op8_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS w FROM documents),
+b AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+phrases AS (
+    SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS p
+    FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) WHERE len(w) > 0
+), lens AS (SELECT DISTINCT len(p) AS n FROM phrases),
+starts AS (
+    SELECT r, i, n, list_slice(w, i, i + n - 1) AS p FROM d, lens, unnest(range(1, len(w) - n + 2)) u(i)
+), hits AS (SELECT s.r, s.i, s.n, p.item_id FROM starts s JOIN phrases p ON s.p = p.p),
+words AS (
+    SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, i, n FROM hits), unnest(range(0, n)) u(k) GROUP BY r
+), items AS (
+    SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hits GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
