@@ -8,6 +8,8 @@ from sitewise.llm.decontaminate import contamination
 from sitewise.llm.license_scan import scan_licenses
 from sitewise.llm.line_dedup import drop_frequent_lines
 from sitewise.llm.quality_rules import judge_quality
+from sitewise.llm.toxicity import held_out, learn, score_toxicity
+from sitewise.llm.url_filter import host_of, judge_urls
 
 QUERIES = {}
 ORACLE = {}
@@ -95,3 +97,52 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(item
        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
+
+
+def toxicity_model(spark, docs, d):
+    """Learned from labelled rows that are not held out."""
+    labels = table(spark, d, "labels").where(~held_out(F.col("doc_id")))
+    return learn(docs, labels)
+
+
+@query
+def op9_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    scored = score_toxicity(docs, toxicity_model(spark, docs, d), threshold=0.7)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+#: Names in hosts which put the host on the list.
+LISTED = r"(^|[.])(ads|adult|casino|cheap|free|spam)-"
+
+
+@query
+def op2_url_filter(spark, d):
+    """The list: every host of the pages with a listed name in it."""
+    pages = table(spark, d, "pages")
+    hosts = pages.where(F.contains("url", F.lit("://"))).select(host_of(F.col("url")).alias("key"))
+    out = judge_urls(pages, hosts.where(F.col("key").rlike(LISTED)))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE["op2_url_filter"] = r"""
+WITH p AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN url END AS u FROM pages
+), h AS (
+    SELECT page_id,
+           translate(coalesce(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1), ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(u, '^(?s:.*?)://[^/?#]*(/[^?#]*)', 1), '') AS path
+    FROM p
+), rules(what, h, p) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+           ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), best AS (
+    SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(what, length(r.h || r.p)) AS what
+    FROM h, rules r WHERE (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY page_id
+)
+SELECT page_id, host, path, rule,
+       coalesce(what, CASE WHEN regexp_matches(host, '(^|[.])(ads|adult|casino|cheap|free|spam)-') THEN 'block' ELSE 'allow' END)
+         AS verdict
+FROM h LEFT JOIN best USING (page_id)
+"""
