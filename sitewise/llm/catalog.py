@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitewise.llm.decontaminate import contamination
+from sitewise.llm.html_extract import extract_pages
 from sitewise.llm.license_scan import scan_licenses
 from sitewise.llm.line_dedup import drop_frequent_lines
 from sitewise.llm.quality_rules import judge_quality
@@ -146,3 +147,8 @@ SELECT page_id, host, path, rule,
          AS verdict
 FROM h LEFT JOIN best USING (page_id)
 """
+
+
+@query
+def op6_html_extract(spark, d):
+    return extract_pages(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
