@@ -81,7 +81,8 @@ def judge_quality(
     """
     ids = trusted.select(F.col(doc_id).alias("trusted_id")).where("trusted_id is not null").distinct()
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    target = texts.join(ids, F.col("id") == F.col("trusted_id"), "left_semi")
+    # Merged at every size: a list of ids grows with the corpus and is never broadcast.
+    target = texts.join(ids.hint("merge"), F.col("id") == F.col("trusted_id"), "left_semi")
     weights = stored(
         bin_weights(gram_counts(target, buckets), gram_counts(texts, buckets), buckets, smoothing), "gram-weights"
     )
