@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from sitewise.llm.decontaminate import contamination
@@ -9,6 +11,7 @@ from sitewise.llm.html_extract import extract_pages
 from sitewise.llm.license_scan import scan_licenses
 from sitewise.llm.line_dedup import drop_frequent_lines
 from sitewise.llm.quality_rules import judge_quality
+from sitewise.llm.sentencepiece import Pieces, with_round_trip
 from sitewise.llm.toxicity import held_out, learn, score_toxicity
 from sitewise.llm.url_filter import host_of, judge_urls
 
@@ -152,3 +155,13 @@ FROM h LEFT JOIN best USING (page_id)
 @query
 def op6_html_extract(spark, d):
     return extract_pages(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+#: Where the public vocabularies are; never part of the repository.
+PIECES = os.environ.get("SITEWISE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query
+def op4_sentencepiece(spark, d):
+    out = with_round_trip(table(spark, d, "documents").select("doc_id", "text"), Pieces.load(PIECES))
+    return out.select("doc_id", "n_tokens", "ids", "exact")
