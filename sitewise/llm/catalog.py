@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sitewise.llm.decontaminate import contamination
 from sitewise.llm.html_extract import extract_pages
+from sitewise.llm.jaccard_join import jaccard_classes
 from sitewise.llm.license_scan import scan_licenses
 from sitewise.llm.line_dedup import drop_frequent_lines
 from sitewise.llm.quality_rules import judge_quality
@@ -165,3 +166,9 @@ PIECES = os.environ.get("SITEWISE_PIECES", "/opt/tokenizers/piece_bpe_32k.model"
 def op4_sentencepiece(spark, d):
     out = with_round_trip(table(spark, d, "documents").select("doc_id", "text"), Pieces.load(PIECES))
     return out.select("doc_id", "n_tokens", "ids", "exact")
+
+
+@query
+def op3_jaccard_join(spark, d):
+    out = jaccard_classes(table(spark, d, "documents"), percent=75, size=5)
+    return out.select("doc_id", "n_shingles", "component_id")
