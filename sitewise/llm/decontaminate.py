@@ -5,14 +5,14 @@ phrase is matched by intersecting the lists of its terms, each shifted by the te
 the phrase, from the rarest term on. Proximity matches ask for the same terms in any order
 within a span.
 
-The index holds the terms of the test items only (nothing else is ever asked for), and of these
-only in documents which have the rarest term of at least one phrase: others can hold no phrase.
-It is written to the shared folder once. Each task reads its own rows and knows the items' terms
-from a broadcast whose size is checked first: items of more than ``max_terms`` distinct terms
-are refused; split them and unite the answers.
+The index is sharded by document: a row holds a document's posting lists, so the lists of a
+phrase are intersected where they are and none is ever shuffled. It holds the terms of the test items only
+(nothing else is ever asked for), and of these only in documents which have the rarest term of at
+least one phrase: others can hold no phrase. It is written to the shared folder once, then
+searched. Terms and phrases of the items are broadcast, their number being checked first: above
+``max_terms`` they are refused; split the items and unite the answers.
 
-Shuffles: postings of documents with a rare term, by (document, position); a term or document
-with a third of all postings spreads by the other half of the key. Whole texts are never moved.
+Shuffles: counts per term; matches. Whole texts are never moved.
 
 Defined cases: null and empty texts and items have no words and match nothing; an item of fewer
 words than the window is one window; ids may be null or repeated, each row being a document of
@@ -103,36 +103,53 @@ def _prepare(docs, items, window, text, doc_id, max_terms):
         phrases_of(items, window).withColumn("phrase_id", F.xxhash64("phrase")), "test-phrases"
     )
     terms = stored(phrases.select(F.explode("phrase").alias("term")).distinct(), "test-terms")
-    if (n := terms.count()) > max_terms:
-        raise ValueError(f"{n} distinct terms in the items, over max_terms={max_terms}: split the items")
+    if (n := max(terms.count(), phrases.count())) > max_terms:
+        raise ValueError(f"{n} distinct terms or phrases in the items, over max_terms={max_terms}: split the items")
     counts = _term_counts(docs, terms, text)
     ranked = stored(_ranked(phrases, counts), "ranked-terms")
-    rare = {r.term for r in ranked.where("rank = 0").select("term").distinct().toLocalIterator()}
-    index = build_index(docs, {r.term: r.term in rare for r in terms.toLocalIterator()}, text, doc_id)
-    postings = index.select("k1", "k2", F.explode("postings").alias("p")).select(
-        "k1", "k2", "p.term", F.explode("p.at").alias("at")
-    )
-    return phrases, ranked, index, postings
+    asked: dict[int, list] = {}
+    for r in ranked.orderBy("phrase_id", "rank").toLocalIterator():
+        asked.setdefault(r.phrase_id, []).append((r.term, r.offset))
+    by_rarest: dict[str, list] = {}
+    for phrase_id, order in asked.items():
+        by_rarest.setdefault(order[0][0], []).append((phrase_id, order))
+    index = build_index(docs, {t: t in by_rarest for order in asked.values() for t, _ in order}, text, doc_id)
+    return phrases, by_rarest, index
+
 
+def _search(index: DataFrame, by_rarest: dict, match, schema: str) -> DataFrame:
+    """Run ``match(lists, phrase order)`` for every phrase whose rarest term a document has."""
+    shared = index.sparkSession.sparkContext.broadcast(by_rarest)
 
-def phrase_matches(ranked: DataFrame, postings: DataFrame) -> DataFrame:
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for k1, k2, postings in zip(batch["k1"], batch["k2"], batch["postings"], strict=True):
+                lists = {p["term"]: frozenset(map(int, p["at"])) for p in postings}
+                for term in lists.keys() & shared.value.keys():
+                    for phrase_id, order in shared.value[term]:
+                        out += [(k1, k2, phrase_id, *found) for found in match(lists, order)]
+            yield pd.DataFrame(out, columns=["k1", "k2", "phrase_id", *(c.split()[0] for c in schema.split(", "))])
+
+    full = f"k1 long, k2 long, phrase_id long, {schema}"
+    return index.where(F.size("postings") > 0).select("k1", "k2", "postings").mapInPandas(rows, full)
+
+
+def _exact(lists: dict, order: list) -> list[tuple[int, int]]:
+    """(len, start): offset-adjusted lists intersected from the rarest term on."""
+    term, offset = order[0]
+    starts = {at - offset for at in lists[term] if at >= offset}
+    for term, offset in order[1:]:
+        if not starts or term not in lists:
+            return []
+        own = lists[term]
+        starts = {s for s in starts if s + offset in own}
+    return [(len(order), s) for s in starts]
+
+
+def phrase_matches(index: DataFrame, by_rarest: dict) -> DataFrame:
     """(k1, k2, phrase_id, len, start): every exact occurrence."""
-    by_rank = lambda test: ranked.where(test)
-    found = postings.join(F.broadcast(by_rank("rank = 0")), "term").select(
-        "k1", "k2", "phrase_id", "len", (F.col("at") - F.col("offset")).alias("start")
-    ).where("start >= 0")
-    # The other terms of what is left: the second rarest alone first, then all others at once.
-    for test, need in (("rank = 1", F.least(F.col("len") - 1, F.lit(1))), ("rank > 1", F.greatest(F.col("len") - 2, F.lit(0)))):
-        asked = found.join(F.broadcast(by_rank(test).select("phrase_id", "term", "offset")), "phrase_id").select(
-            "k1", "k2", "phrase_id", "len", "start", "term", (F.col("start") + F.col("offset")).alias("at")
-        )
-        met = asked.join(postings, ["k1", "k2", "term", "at"], "left_semi").groupBy(
-            "k1", "k2", "phrase_id", "len", "start"
-        ).agg(F.count("*").alias("met"))
-        # Phrases too short to have a term of this rank pass as they are.
-        short = found.where(need == 0)
-        found = met.where(F.col("met") == need).drop("met").unionByName(short)
-    return found
+    return _search(index, by_rarest, _exact, "len int, start int")
 
 
 def proximity_matches(
@@ -141,18 +158,16 @@ def proximity_matches(
 ) -> DataFrame:
     """(doc_id, phrase, item_ids): phrases all of whose distinct terms occur, in any order, within
     ``span`` words of one occurrence of their rarest term."""
-    phrases, ranked, index, postings = _prepare(docs, items, window, text, doc_id, max_terms)
-    terms = ranked.groupBy("phrase_id", "term").agg(F.min("rank").alias("rank"))
-    sizes = terms.groupBy("phrase_id").agg(F.count("*").alias("terms"))
-    anchor = postings.join(F.broadcast(terms.where("rank = 0")), "term").select(
-        "k1", "k2", "phrase_id", F.col("at").alias("anchor")
-    )
-    asked = anchor.join(F.broadcast(terms), "phrase_id")
-    near = asked.join(postings, ["k1", "k2", "term"]).where(F.abs(F.col("at") - F.col("anchor")) <= span)
-    full = near.groupBy("k1", "k2", "phrase_id", "anchor").agg(F.count_distinct("term").alias("met")).join(
-        sizes, "phrase_id"
-    ).where("met = terms").select("k1", "k2", "phrase_id").distinct()
-    return full.join(phrases, "phrase_id").join(index.select("k1", "k2", F.col("id").alias(doc_id)), ["k1", "k2"]).select(
+    phrases, by_rarest, index = _prepare(docs, items, window, text, doc_id, max_terms)
+
+    def near(lists, order):
+        for at in sorted(lists[order[0][0]]):
+            if all(any(at + d in lists.get(t, ()) for d in range(-span, span + 1)) for t in {t for t, _ in order}):
+                return [(at,)]
+        return []
+
+    found = _search(index, by_rarest, near, "at int").select("k1", "k2", "phrase_id").distinct()
+    return found.join(phrases, "phrase_id").join(index.select("k1", "k2", F.col("id").alias(doc_id)), ["k1", "k2"]).select(
         doc_id, "phrase", "item_ids"
     )
 
@@ -163,9 +178,8 @@ def contamination(
 ) -> DataFrame:
     """One row per document: k1, k2 (its row key), doc_id, n_words, n_hit (words inside any
     occurrence), items (ids, sorted as strings) and contaminated."""
-    phrases, ranked, index, postings = _prepare(docs, items, window, text, doc_id, max_terms)
-    # Repeated rows have the same postings: one set is enough.
-    matches = stored(phrase_matches(ranked, postings.distinct()), "phrase-matches")
+    phrases, by_rarest, index = _prepare(docs, items, window, text, doc_id, max_terms)
+    matches = stored(phrase_matches(index, by_rarest), "phrase-matches")
     hit = matches.select(
         "k1", "k2", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("at")
     ).distinct().groupBy("k1", "k2").agg(F.count("*").alias("hit"))
