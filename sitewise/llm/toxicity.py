@@ -114,7 +114,7 @@ def fit_machine(
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 12_000, bins: int = 1 << 20,
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, bins: int = 1 << 20,
     text: str = "text", doc_id: str = "doc_id", **options,
 ) -> FactorizationMachine:
     """Fit on at most ``sample`` documents of ``labels`` (doc_id, label)."""
@@ -127,14 +127,15 @@ def learn(
         part = known.where(F.col("y") == y).orderBy("h", "id").limit(sample // 2)
         picked = part if picked is None else picked.unionByName(part)
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("binary")
     def found(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: bins_of(x, bins).tolist())
+        return t.map(lambda x: bins_of(x, bins).astype(np.int32).tobytes())
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(picked), "id").select(
         "h", "id", "y", found("t").alias("bins")
-    ).dropDuplicates(["id"]).orderBy("h", "id").collect()
-    return fit_machine([np.asarray(r.bins, np.int64) for r in rows], np.asarray([r.y for r in rows]), **options)
+    ).dropDuplicates(["id"]).orderBy("h", "id").toLocalIterator()
+    read = [(np.frombuffer(r.bins, np.int32).astype(np.int64), r.y) for r in rows]
+    return fit_machine([x for x, _ in read], np.asarray([y for _, y in read]), **options)
 
 
 def score_toxicity(
