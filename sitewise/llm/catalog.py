@@ -13,6 +13,7 @@ from sitewise.llm.license_scan import scan_licenses
 from sitewise.llm.line_dedup import drop_frequent_lines
 from sitewise.llm.quality_rules import judge_quality
 from sitewise.llm.sentencepiece import Pieces, with_round_trip
+from sitewise.llm.substring_dedup import cut_repeats
 from sitewise.llm.toxicity import held_out, learn, score_toxicity
 from sitewise.llm.url_filter import host_of, judge_urls
 
@@ -172,3 +173,9 @@ def op4_sentencepiece(spark, d):
 def op3_jaccard_join(spark, d):
     out = jaccard_classes(table(spark, d, "documents"), percent=75, size=5)
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op5_suffix_dedup(spark, d):
+    out = cut_repeats(table(spark, d, "documents").select("doc_id", "text"), size=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept_bytes"), 256).alias("kept_sha256"))
