@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.sources.scratch import stored
 
 
+def _forest(batches):
+    """Union-find over one task's edges; its memory is that of one partition."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    tips = [(x, find(x)) for x in list(root)]
+    yield pd.DataFrame({"u": [x for x, _ in tips], "v": [y for _, y in tips]}, dtype="int64")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in ``edges`` (two long columns).
 
@@ -15,9 +34,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     smallest of them; pre-aggregated minima, no node's neighbours in one row. Rounds grow with the logarithm of the
     longest path. Ends when a round changes nothing.
     """
-    e = stored(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
-    )
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
+    # Within each task first: of what a task reads, a star per component is left.
+    e = stored(e.mapInPandas(_forest, "u long, v long").distinct(), "edges")
     last = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

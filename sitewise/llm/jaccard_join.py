@@ -10,7 +10,8 @@ n - ceil(0.75 n) + 1 shingles. So classes none of whose first shingles are in an
 partner, and the others fall into blocks (connected by common first shingles) which no link crosses. Only
 classes in blocks get signatures, and a signature counts inside its block.
 
-Pairs: in each bucket all members are paired with the smallest only; then, after linking, the
+In blocks of at most ``small_block`` classes, by far the most, the buckets are formed inside the
+task which has the block. In larger ones signatures are shuffled: in each bucket all members are paired with the smallest only; then, after linking, the
 buckets in which two components are left give the pairs between these. So large groups of near
 copies cost a star, not all their pairs, and no link between components is lost.
 
@@ -85,8 +86,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.join(left.drop("na"), "a").join(right.drop("nb"), "b").where(alike("x", "y")).select("a", "b")
 
 
+def _inside(percent: int, parts: int):
+    """Links inside small blocks, which come sorted: a block's buckets are formed in the task."""
+
+    def solve(ids, sets, scheme):
+        sigs = [scheme.signatures(s) for s in sets]
+        flat = np.concatenate(sigs)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sigs])
+        order = np.argsort(flat, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+        pairs = set()
+        for bucket in np.split(owner[order], edges[1:]):
+            if len(bucket) > 1:
+                own = bucket.tolist()
+                pairs.update((x, y) for i, y in enumerate(own) for x in own[:i])
+        return [(ids[x], ids[y]) for x, y in sorted(pairs) if similar(sets[x], sets[y], percent)]
+
+    def run(batches):
+        scheme, block, ids, sets = PartEnum(percent, parts), None, [], []
+        for batch in batches:
+            out = []
+            for b, i, raw in zip(batch["block"].tolist(), batch["id"].tolist(), batch["set"], strict=True):
+                if b != block:
+                    out += solve(ids, sets, scheme) if len(ids) > 1 else []
+                    block, ids, sets = b, [], []
+                ids.append(i)
+                sets.append(np.frombuffer(raw, np.uint64))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(solve(ids, sets, scheme) if len(ids) > 1 else [], columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def jaccard_classes(
-    docs: DataFrame, percent: int = 75, size: int = 5, parts: int = 3, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, percent: int = 75, size: int = 5, parts: int = 3, text: str = "text", doc_id: str = "doc_id",
+    small_block: int = 64,
 ) -> DataFrame:
     """One row per document: k1, k2 (row key), doc_id, n_shingles and component_id (smallest id
     reachable by links of ``percent`` per cent similarity or more)."""
@@ -127,21 +161,23 @@ def jaccard_classes(
     # Blocks: classes connected by common first shingles.
     first = full.where("first is not null").select(number.alias("id"), F.explode("first").alias("s")).distinct()
     star = first.withColumn("a", F.min("id").over(Window.partitionBy("s"))).where("a <> id").select("a", F.col("id").alias("b"))
-    blocks = components(star.distinct())
-    wanted = stored(blocks.select("id", F.col("component").alias("block")).join(classes.select("id", "k", "n"), "id").select(
-        "id", "block", "n", "k.k1", "k.k2"
+    blocks = components(star).select("id", F.col("component").alias("block"))
+    sizes = blocks.groupBy("block").agg((F.count("*") > small_block).alias("large"))
+    wanted = stored(blocks.join(sizes, "block").join(classes.select("id", "k", "n"), "id").select(
+        "id", "block", "large", "n", "k.k1", "k.k2"
     ), "shingle-blocks")
 
     def rebuild(batches):
         for part, texts in _chunks(batches, "t"):
             yield pd.DataFrame({
-                "id": part["id"], "block": part["block"], "n": part["n"], "set": [s.tobytes() for s in shingle_sets(texts, size)],
+                "id": part["id"], "block": part["block"], "large": part["large"], "n": part["n"],
+                "set": [s.tobytes() for s in shingle_sets(texts, size)],
             })
 
     texts = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(text).alias("t"))
     sets = stored(
-        texts.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["id"]).select("id", "block", "n", "t").mapInPandas(
-            rebuild, "id long, block long, n long, set binary"
+        texts.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["id"]).select("id", "block", "large", "n", "t").mapInPandas(
+            rebuild, "id long, block long, large boolean, n long, set binary"
         ), "shingle-sets",
     )
 
@@ -152,14 +188,17 @@ def jaccard_classes(
                 sigs = scheme.signatures(np.frombuffer(raw, np.uint64)).view(np.int64)
                 yield pd.DataFrame({"block": np.full(len(sigs), block), "sig": sigs, "id": np.full(len(sigs), i)})
 
-    signed = sets.select("id", "block", "set").mapInPandas(sign, "block long, sig long, id long")
+    near = sets.where("not large").select("block", "id", "set").repartition("block").sortWithinPartitions("block").mapInPandas(
+        _inside(percent, parts), "a long, b long"
+    )
+    signed = sets.where("large").select("id", "block", "set").mapInPandas(sign, "block long, sig long, id long")
     bucket = Window.partitionBy("block", "sig")
     members = stored(
         signed.withColumn("lead", F.min("id").over(bucket)).withColumn("top", F.max("id").over(bucket)).where("lead <> top").drop("top"),
         "signature-buckets",
     )
     pairs = members.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(_verified(pairs, sets, percent), "links")
+    links = stored(_verified(pairs, sets.where("large"), percent).unionByName(near), "links")
 
     # What a star leaves open: buckets with two components or more. Pairs with the leader are done.
     known = components(links)
@@ -170,7 +209,7 @@ def jaccard_classes(
     rest = stored(rest, "open-buckets")
     others = rest.withColumnsRenamed({"b": "a", "cb": "ca"})
     open_ = others.join(rest, ["block", "sig"]).where("a < b and ca <> cb").select("a", "b").distinct()
-    links = links.unionByName(stored(_verified(open_, sets, percent), "links"))
+    links = links.unionByName(stored(_verified(open_, sets.where("large"), percent), "links"))
 
     linked = components(links)
     low = linked.join(classes.select("id", "low"), "id").withColumn("reach", F.min("low").over(Window.partitionBy("component")))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from sitewise.llm.jaccard_join import jaccard_classes
 from sitewise.llm.signatures import PartEnum, shingle_sets, similar
@@ -54,10 +55,11 @@ def corpus(seed, n=60):
     return rows + [(900, None), (901, ""), (901, ""), (902, "one two"), (903, "ONE\ntwo"), (None, "one two"), (0, rows[0][1])]
 
 
-def test_components_match_brute_force(spark):
+@pytest.mark.parametrize("small_block", [0, 64])
+def test_components_match_brute_force(spark, small_block):
     rows = corpus(1)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n long")
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(df).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(df, small_block=small_block).collect()), key=repr)
     assert got == brute(rows)
 
 
