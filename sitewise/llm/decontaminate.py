@@ -21,8 +21,10 @@ its own (repeats share an answer); null item ids match but are left out of item
 
 from __future__ import annotations
 
+import itertools
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ from sitewise.llm.common import TERM_GAP, ascii_lower, row_key, split_words
 from sitewise.sources.scratch import stored
 
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+CHUNK = 256  # documents indexed at a time
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -55,35 +58,40 @@ def _term_counts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     return words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def build_index(docs: DataFrame, anchors: dict[str, bool], text: str, doc_id: str) -> DataFrame:
-    """One row per document, stored: its key, id, number of words, and postings (term, positions)
-    of the terms in ``anchors``; none unless it has a term whose value is true."""
-    known = docs.sparkSession.sparkContext.broadcast(anchors)
+def build_index(docs: DataFrame, numbers: dict[str, int], rarest: set[int], text: str, doc_id: str) -> DataFrame:
+    """One row per document, stored: its key, id, number of words, and the posting lists of the
+    terms in ``numbers``: terms (their numbers), ends (of each list), places (the lists, one after the
+    other). No lists unless it has a term in ``rarest``."""
+    known = docs.sparkSession.sparkContext.broadcast((numbers, rarest))
+
+    def described(body):
+        numbers, rarest = known.value
+        words = terms_of(body)
+        if rarest.isdisjoint(map(numbers.get, words)):
+            return len(words), [], [], []
+        places: dict[int, list[int]] = {}
+        for at, word in enumerate(words):
+            if (number := numbers.get(word)) is not None:
+                places.setdefault(number, []).append(at)
+        return (
+            len(words), np.fromiter(places, np.int32, len(places)), np.cumsum([len(x) for x in places.values()], dtype=np.int32),
+            np.fromiter(itertools.chain.from_iterable(places.values()), np.int32),
+        )
 
     def rows(batches):
-        wanted = known.value
         for batch in batches:
-            counts, postings = [], []
-            for body in batch["t"]:
-                words = terms_of(body)
-                counts.append(len(words))
-                if any(map(wanted.get, set(words))):
-                    places: dict[str, list[int]] = {}
-                    for at, word in enumerate(words):
-                        if word in wanted:
-                            places.setdefault(word, []).append(at)
-                    postings.append([{"term": t, "at": p} for t, p in places.items()])
-                else:
-                    postings.append([])
-            yield pd.DataFrame({
-                "k1": batch["k1"], "k2": batch["k2"], "id": batch["id"], "n_words": counts, "postings": postings,
-            })
+            for start in range(0, len(batch), CHUNK):
+                part = batch.iloc[start:start + CHUNK]
+                found = [described(body) for body in part["t"]]
+                yield pd.DataFrame({
+                    "k1": part["k1"], "k2": part["k2"], "id": part["id"],
+                    **{c: pd.Series([x[i] for x in found], part.index) for i, c in enumerate(("n_words", "terms", "ends", "places"))},
+                })
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    keyed = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(doc_id).alias("id"), F.col(text).alias("t"))
-    # A nullable column of numbers would come back as doubles.
-    keyed = keyed.withColumn("id", F.col("id").cast("string"))
-    schema = "k1 long, k2 long, id string, n_words long, postings array<struct<term:string,at:array<int>>>"
+    # As text: a nullable column of numbers would come back as doubles.
+    keyed = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(doc_id).cast("string").alias("id"), F.col(text).alias("t"))
+    schema = "k1 long, k2 long, id string, n_words long, terms array<int>, ends array<int>, places array<int>"
     return stored(keyed.mapInPandas(rows, schema).withColumn("id", F.col("id").cast(kind)), "positional-index")
 
 
@@ -107,13 +115,14 @@ def _prepare(docs, items, window, text, doc_id, max_terms):
         raise ValueError(f"{n} distinct terms or phrases in the items, over max_terms={max_terms}: split the items")
     counts = _term_counts(docs, terms, text)
     ranked = stored(_ranked(phrases, counts), "ranked-terms")
+    numbers: dict[str, int] = {}
     asked: dict[int, list] = {}
     for r in ranked.orderBy("phrase_id", "rank").toLocalIterator():
-        asked.setdefault(r.phrase_id, []).append((r.term, r.offset))
-    by_rarest: dict[str, list] = {}
+        asked.setdefault(r.phrase_id, []).append((numbers.setdefault(r.term, len(numbers)), r.offset))
+    by_rarest: dict[int, list] = {}
     for phrase_id, order in asked.items():
         by_rarest.setdefault(order[0][0], []).append((phrase_id, order))
-    index = build_index(docs, {t: t in by_rarest for order in asked.values() for t, _ in order}, text, doc_id)
+    index = build_index(docs, numbers, set(by_rarest), text, doc_id)
     return phrases, by_rarest, index
 
 
@@ -124,15 +133,15 @@ def _search(index: DataFrame, by_rarest: dict, match, schema: str) -> DataFrame:
     def rows(batches):
         for batch in batches:
             out = []
-            for k1, k2, postings in zip(batch["k1"], batch["k2"], batch["postings"], strict=True):
-                lists = {p["term"]: frozenset(map(int, p["at"])) for p in postings}
+            for k1, k2, terms, ends, places in zip(*(batch[c] for c in ("k1", "k2", "terms", "ends", "places")), strict=True):
+                lists = {t: frozenset(x.tolist()) for t, x in zip(terms.tolist(), np.split(places, ends[:-1]), strict=True)}
                 for term in lists.keys() & shared.value.keys():
                     for phrase_id, order in shared.value[term]:
                         out += [(k1, k2, phrase_id, *found) for found in match(lists, order)]
             yield pd.DataFrame(out, columns=["k1", "k2", "phrase_id", *(c.split()[0] for c in schema.split(", "))])
 
     full = f"k1 long, k2 long, phrase_id long, {schema}"
-    return index.where(F.size("postings") > 0).select("k1", "k2", "postings").mapInPandas(rows, full)
+    return index.where(F.size("terms") > 0).select("k1", "k2", "terms", "ends", "places").mapInPandas(rows, full)
 
 
 def _exact(lists: dict, order: list) -> list[tuple[int, int]]:
@@ -186,7 +195,7 @@ def contamination(
     named = matches.select("k1", "k2", "phrase_id").distinct().join(phrases, "phrase_id").select(
         "k1", "k2", F.explode("item_ids").alias("item")
     ).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return index.drop("postings").join(hit, ["k1", "k2"], "left").join(named, ["k1", "k2"], "left").select(
+    return index.drop("terms", "ends", "places").join(hit, ["k1", "k2"], "left").join(named, ["k1", "k2"], "left").select(
         "k1", "k2", F.col("id").alias(doc_id), "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("hit").isNotNull().alias("contaminated"),
     )
