@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.functions.urls import netloc, normalize_url, stable_row_id
-from sitewise.sources.tables import spread
 
 START = "2024-01-01 00:00:00"
 
@@ -20,8 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages, shared out over the cores if the file is small."""
-    return spread(table(spark, sf_dir, "pages"))
+    return table(spark, sf_dir, "pages")
 
 
 def fetches(source: DataFrame) -> DataFrame:

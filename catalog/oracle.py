@@ -132,7 +132,7 @@ fetches AS (
   FROM normalized
 ),
 usable AS (
-  SELECT *, status_code < 400 AND content_type <> 'application/pdf' AS has_html,
+  SELECT *, method = 'playwright' OR (status_code < 400 AND content_type <> 'application/pdf') AS has_html,
     {reduced('html')} AS reduced
   FROM fetches
 ),
@@ -169,7 +169,7 @@ budgeted AS (
 ),
 records AS (
   SELECT * EXCLUDE (url), CASE WHEN is_home THEN coalesce(nullif(final_url, ''), url) ELSE url END AS url,
-    CASE WHEN is_home THEN text_len > 0 ELSE text_len > 600 END AS ok
+    CASE WHEN is_home THEN text_len > 0 ELSE text_len > 100 END AS ok
   FROM budgeted WHERE pos < 12 AND spent <= 45000
 )"""
 
@@ -354,14 +354,14 @@ ORACLE = {
     "page_main_text": f"""
         WITH r AS (SELECT page_id, {reduced('html')} AS m FROM pages),
         s AS (SELECT page_id, {decluttered('m')} AS m FROM r)
-        SELECT page_id, {main_text('m', 1000)} AS main_text, {paragraphs('m')} AS paragraph_text FROM s""",
+        SELECT page_id, {main_text('m', 200)} AS main_text, {paragraphs('m')} AS paragraph_text FROM s""",
     "page_metadata": f"""WITH {FETCHES}, {HEAD}
         SELECT page_id, title, '' AS meta_description, headings FROM head""",
     "page_description": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'd & ' || page_id
           ELSE 'd' || page_id END AS meta_description FROM pages""",
     "page_headings": f"""
         WITH h AS (
-          SELECT page_id, regexp_replace({reduced('html')}, '<p>([^<]{{1,60}})[^<]*</p>',
+          SELECT page_id, regexp_replace({reduced('html')}, '<p>([^<]*)</p>',
             '<h2>\\1</h2><H3 class=''x''>The</H3>', 'g') AS html FROM pages),
         found AS (
           SELECT page_id, unnest(t) AS t, generate_subscripts(t, 1) AS pos FROM (
@@ -369,12 +369,12 @@ ORACLE = {
               lambda x: {one_line('x')}) AS t FROM h)),
         firsts AS (
           SELECT page_id, arg_min(t, pos) AS t, min(pos) AS pos FROM found WHERE t <> '' GROUP BY page_id, lower(t))
-        SELECT page_id, to_json(list(t ORDER BY pos)[1:8])::VARCHAR AS headings FROM firsts GROUP BY page_id""",
+        SELECT page_id, to_json(list(t ORDER BY pos)[1:50])::VARCHAR AS headings FROM firsts GROUP BY page_id""",
     "page_links": f"WITH {ANCHORS} SELECT page_id, pos, href FROM anchors",
     "text_truncate": """SELECT doc_id, left(text, 500) AS preview, length(text) > 500 AS truncated_preview,
           left(text, 5000) AS full, length(text) > 5000 AS truncated_full FROM documents""",
     "page_stats": f"WITH {FETCHES} SELECT page_id, has_html, bytes, text_len FROM content",
-    "html_filter": f"WITH {FETCHES} SELECT page_id, has_html AS is_html FROM usable",
+    "html_filter": f"WITH {FETCHES} SELECT page_id, status_code < 400 AND content_type <> 'application/pdf' AS is_html FROM fetches",
     "js_shell": f"""
         WITH h AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN ''
             WHEN page_id % 3 = 0 THEN replace(html, '<article>', '<article ID="root">') ELSE html END AS html
@@ -383,7 +383,7 @@ ORACLE = {
           AS is_shell FROM h""",
     "render_queue": f"""WITH {FETCHES}
         SELECT page_id, url, text_len, CASE WHEN has_html THEN 'short_text' ELSE 'no_html' END AS reason
-        FROM content WHERE NOT has_html OR text_len < 900""",
+        FROM content WHERE method <> 'playwright' AND (NOT has_html OR text_len < 900)""",
     "retry_queue": f"""WITH {LOG}
         SELECT row_id, url, count(*) FILTER (status_code = 503) AS failures,
           arg_max(status_code, (ts, event_id)) AS last_status
@@ -415,8 +415,8 @@ ORACLE = {
         FROM records WHERE ok GROUP BY row_id""",
     "conversation_text": f"""
         SELECT conv_id, left(coalesce(chr(10) || chr(10) || string_agg(
-          'URL: ' || role || chr(10) || left(text, 2000),
-          chr(10) || chr(10) || '{RULE}' || chr(10) || chr(10) ORDER BY turn) FILTER (text <> ''), ''), 2000)
+          'URL: ' || role || chr(10) || text,
+          chr(10) || chr(10) || '{RULE}' || chr(10) || chr(10) ORDER BY turn) FILTER (text <> ''), ''), 250000)
           AS combined_text
         FROM conversations GROUP BY conv_id""",
     "site_output": f"""{SITE_JOB}, {SITES}
@@ -424,7 +424,10 @@ ORACLE = {
           CASE WHEN ord % 13 = 5 THEN 'skipped' ELSE scrape_status END AS scrape_status,
           CASE WHEN ord % 13 = 5 THEN 'empty_url' ELSE error_reason END AS error_reason,
           CASE WHEN ord % 13 = 5 THEN '' ELSE 'https://' || website || '/' END AS normalized_url,
-          results.* EXCLUDE (row_id, scrape_status, error_reason)
+          results.* EXCLUDE (row_id, scrape_status, error_reason) REPLACE (
+            {", ".join(f"(CASE WHEN ord % 13 = 5 THEN 0 ELSE {c} END)::{t} AS {c}" for c, t in (
+                ("pages_attempted", "INT"), ("pages_scraped", "INT"), ("total_bytes", "BIGINT"), ("total_text_len", "BIGINT"),
+                ("main_text_len", "INT"), ("pages_planned", "INT"), ("truncated_full", "BOOLEAN"), ("truncated_preview", "BOOLEAN")))})
         FROM sites JOIN results USING (row_id)""",
     "link_candidates": f"WITH {ANCHORS}, {PLANS}, {plan(12)} SELECT * FROM plan",
     "link_candidates_wide": f"WITH {ANCHORS}, {PLANS}, {plan(30)} SELECT * FROM plan",

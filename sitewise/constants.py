@@ -85,3 +85,6 @@ DEFAULT_SUFFIXES = (
 
 # Above this many rules a suffix list is joined as a table, not inlined.
 MAX_INLINE_SUFFIXES = 20_000
+
+# Fixed value: the fetch method which means that a browser rendered the page.
+BROWSER_METHOD = "playwright"

@@ -96,7 +96,7 @@ def sitemap_urls(
     """
     domain = U.domain_key(F.col("base_url"), suffixes)
     found = settled(
-        sitemaps.where(F.col("status_code") < 400)
+        sitemaps.where((F.col("status_code") < 400) & F.col("path").isin(*K.SITEMAP_PATHS))
         .withColumn("_domain", domain)
         .withColumn("_all", L.sitemap_locations(F.coalesce(F.col("xml"), F.lit(""))))
         .drop("xml")
@@ -104,7 +104,7 @@ def sitemap_urls(
         "urls",
     ).where(F.size("urls") > 0)
     rank = F.array_position(F.array(*map(F.lit, K.SITEMAP_PATHS)), F.col("path"))
-    best = W.partitionBy("row_id").orderBy("_rank")
+    best = W.partitionBy("row_id").orderBy("_rank", "base_url")
     return (
         found.withColumn("_rank", rank)
         .select("row_id", "base_url", "path", "urls", "_rank")

@@ -17,11 +17,21 @@ from sitewise.operators.stages import settled
 
 
 def usable_html(fetches: DataFrame) -> DataFrame:
-    """Null the body of errors and of what is not HTML; empty counts as null."""
-    fit = H.is_html(F.col("status_code"), F.col("content_type"))
+    """Null the body of errors and of what is not HTML; empty counts as null.
+
+    A page which a browser rendered stands whatever the status: a blocked plain fetch is why
+    it was rendered.
+    """
+    fit = _rendered(fetches) | H.is_html(F.col("status_code"), F.col("content_type"))
     return fetches.withColumn("html", F.when(fit, F.nullif(F.col("html"), F.lit(""))))
 
 
+def _rendered(fetches: DataFrame) -> Column:
+    if "method" not in fetches.columns:
+        return F.lit(False)
+    return F.coalesce(F.col("method") == K.BROWSER_METHOD, F.lit(False))
+
+
 def page_content(
     fetches: DataFrame, extract_chars: int = K.MIN_EXTRACT_CHARS, metadata: bool = True
 ) -> DataFrame:
@@ -132,8 +142,8 @@ def render_reason(
 
 
 def render_queue(fetches: DataFrame, min_text: int = K.MIN_TEXT) -> DataFrame:
-    """Fetches which need a browser, each with its reason."""
-    staged = usable_html(fetches).withColumn("_reduced", on(H.reduce_html, "html")).withColumns({
+    """Fetches which need a browser, each with its reason; those by a browser had their turn."""
+    staged = usable_html(fetches.where(~_rendered(fetches))).withColumn("_reduced", on(H.reduce_html, "html")).withColumns({
         "_visible": on(H.full_text, "_reduced"),
         "_decluttered": on(H.declutter, "_reduced"),
     }).withColumn("text_len", F.length(on(H.main_text, "_decluttered"))).withColumn(

@@ -18,21 +18,29 @@ def conform(df: DataFrame) -> DataFrame:
     ))
 
 
-def first_per_id(earlier: DataFrame, order: str) -> DataFrame:
-    """First earlier row of each id; copies are cut ahead of the exchange."""
-    by_order = W.partitionBy("row_id").orderBy(order)
+def first_per_id(earlier: DataFrame, order: str | None = None) -> DataFrame:
+    """First earlier row of each id; copies are cut ahead of the exchange.
+
+    ``order`` ranks as a number. Without it finished rows go first, then the latest.
+    """
+    if order in earlier.columns:
+        keys = [F.col(order).cast("double").asc_nulls_last()]
+    else:
+        known = [c for c in ("scrape_status", "finished_at", "normalized_url") if c in earlier.columns]
+        keys = [(F.col(c) == "done").desc_nulls_last() if c == "scrape_status" else F.col(c).desc_nulls_last() for c in known]
+    by_order = W.partitionBy("row_id").orderBy(*(keys or ["row_id"]))
     return earlier.withColumn("_n", F.row_number().over(by_order)).where(F.col("_n") == 1).drop("_n")
 
 
-def resume_merge(sheet: DataFrame, earlier: DataFrame | None, order: str = "ord") -> DataFrame:
+def resume_merge(sheet: DataFrame, earlier: DataFrame | None, order: str | None = "ord") -> DataFrame:
     """Input left-joined to its earlier output, conformed.
 
     A column in both keeps the input's value unless that is null; the others are
-    carried over.  ``order`` ranks earlier rows of one id and is then dropped.
+    carried over.  ``order``, if the earlier output has it, ranks rows of one id and is dropped.
     """
     if earlier is None or "row_id" not in earlier.columns:
         return conform(sheet)
-    old = first_per_id(earlier, order).drop(order)
+    old = first_per_id(earlier, order).drop(*([order] if order else []))
     shared = [c for c in sheet.columns if c in old.columns and c != "row_id"]
     renamed = old.select([
         F.col(c).alias(f"_old_{c}") if c in shared else F.col(c) for c in old.columns

@@ -58,10 +58,17 @@ def site_output(
     keyed = sites.key_sites(sheet)
     merged = resume.resume_merge(keyed.drop("normalized_url"), earlier)
     merged = merged.withColumn("normalized_url", normalize_url(F.col("website")))
+    if earlier is not None:
+        # Finished sites keep their result, and none of their pages is extracted again.
+        done = merged.where(~resume.is_pending(F.col("scrape_status"))).select("row_id").distinct()
+        fetches = fetches.join(done, "row_id", "left_anti")
     written = resume.upsert_results(merged, site_results(fetches, **limits))
     empty = F.col("normalized_url") == ""
     extra = [c for c in sheet.columns if c not in S.SITE_OUTPUT.names]
+    counts = ("pages_attempted", "pages_scraped", "total_bytes", "total_text_len", "main_text_len", "pages_planned")
     return written.withColumns({
+        **{c: F.when(empty, F.lit(0).cast(S.SITE_OUTPUT[c].dataType)).otherwise(F.col(c)) for c in counts},
+        **{c: F.when(empty, F.lit(False)).otherwise(F.col(c)) for c in ("truncated_full", "truncated_preview")},
         "scrape_status": F.when(empty, "skipped").otherwise(F.col("scrape_status")),
         "error_reason": F.when(empty, "empty_url").otherwise(F.col("error_reason")),
     }).select(*extra, *S.SITE_OUTPUT.names)

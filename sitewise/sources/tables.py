@@ -13,16 +13,6 @@ from sitewise.functions.urls import stable_row_id
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"'}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share out an input which is read by fewer tasks than there are cores.
-
-    For inputs of a few files only: a scan with enough tasks is left alone, so large
-    tables are never shuffled by this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_site_list(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A site list in Parquet or CSV; raises unless it has a ``website`` column.
 

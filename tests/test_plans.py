@@ -69,7 +69,7 @@ def test_no_query_runs_python_workers(spark):
 
 
 def test_every_query_has_sql_and_the_entry_runs(spark):
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLE) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
 
 

@@ -88,6 +88,6 @@ def test_scratch_folder(spark, tmp_path):
     shared = Session(spark_checkpoint_dir="hdfs://x/y/", spark_master="yarn")
     assert scratch.scratch_dir(shared, "p").startswith("hdfs://x/y/sitewise/p-")
     assert scratch.scratch_dir(shared, "p") != scratch.scratch_dir(shared, "p")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch.scratch_dir(Session(spark_master="yarn"), "p")
+    warehouse = Session(spark_master="yarn", spark_sql_warehouse_dir="hdfs://w")
+    assert scratch.scratch_dir(warehouse, "p").startswith("hdfs://w/sitewise/p-")
     assert scratch.scratch_dir(spark, "p")
