@@ -159,7 +159,7 @@ def jaccard_classes(
         raise RuntimeError("no seed tells all classes apart")
 
     # Blocks: classes connected by common first shingles.
-    first = full.where("first is not null").select(number.alias("id"), F.explode("first").alias("s")).distinct()
+    first = full.where("first is not null").select(number.alias("id"), F.explode("first").alias("s"))
     star = first.withColumn("a", F.min("id").over(Window.partitionBy("s"))).where("a <> id").select("a", F.col("id").alias("b"))
     blocks = components(star).select("id", F.col("component").alias("block"))
     sizes = blocks.groupBy("block").agg((F.count("*") > small_block).alias("large"))
@@ -176,7 +176,7 @@ def jaccard_classes(
 
     texts = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(text).alias("t"))
     sets = stored(
-        texts.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["id"]).select("id", "block", "large", "n", "t").mapInPandas(
+        texts.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("id", "block", "large", "n", "t").mapInPandas(
             rebuild, "id long, block long, large boolean, n long, set binary"
         ), "shingle-sets",
     )
