@@ -20,6 +20,22 @@ def ascii_lower(c: Column) -> Column:
     )
 
 
+#: As bytes: A-Z to a-z, gaps between terms to blanks, all else as it is.
+_TERM_BYTES = bytes(
+    c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
+)
+
+
+def term_bytes(text: str | None) -> list[bytes]:
+    """Lower-cased terms of a text, as UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split()
+
+
+def word_bytes(text: str | None) -> list[bytes]:
+    """Words between white space, A-Z lower-cased, as UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def split_words(text: Column, gap: str) -> Column:
     """Non-empty words between matches of ``gap``."""
     return F.filter(F.split(text, gap), lambda w: w != "")

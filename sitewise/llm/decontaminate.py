@@ -22,23 +22,16 @@ its own (repeats share an answer); null item ids match but are left out of item
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import TERM_GAP, ascii_lower, row_key, split_words
+from sitewise.llm.common import TERM_GAP, ascii_lower, row_key, split_words, term_bytes
 from sitewise.sources.scratch import stored
 
-_TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 CHUNK = 256  # documents indexed at a time
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def terms_of(text: str | None) -> list[str]:
-    return _TERM.findall((text or "").translate(_LOWER))
 
 
 def phrases_of(items: DataFrame, window: int = 10, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -58,7 +51,7 @@ def _term_counts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     return words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def build_index(docs: DataFrame, numbers: dict[str, int], rarest: set[int], text: str, doc_id: str) -> DataFrame:
+def build_index(docs: DataFrame, numbers: dict[bytes, int], rarest: set[int], text: str, doc_id: str) -> DataFrame:
     """One row per document, stored: its key, id, number of words, and the posting lists of the
     terms in ``numbers``: terms (their numbers), ends (of each list), places (the lists, one after the
     other). No lists unless it has a term in ``rarest``."""
@@ -66,7 +59,7 @@ def build_index(docs: DataFrame, numbers: dict[str, int], rarest: set[int], text
 
     def described(body):
         numbers, rarest = known.value
-        words = terms_of(body)
+        words = term_bytes(body)
         if rarest.isdisjoint(map(numbers.get, words)):
             return len(words), [], [], []
         places: dict[int, list[int]] = {}
@@ -115,10 +108,10 @@ def _prepare(docs, items, window, text, doc_id, max_terms):
         raise ValueError(f"{n} distinct terms or phrases in the items, over max_terms={max_terms}: split the items")
     counts = _term_counts(docs, terms, text)
     ranked = stored(_ranked(phrases, counts), "ranked-terms")
-    numbers: dict[str, int] = {}
+    numbers: dict[bytes, int] = {}
     asked: dict[int, list] = {}
     for r in ranked.orderBy("phrase_id", "rank").toLocalIterator():
-        asked.setdefault(r.phrase_id, []).append((numbers.setdefault(r.term, len(numbers)), r.offset))
+        asked.setdefault(r.phrase_id, []).append((numbers.setdefault(r.term.encode(), len(numbers)), r.offset))
     by_rarest: dict[int, list] = {}
     for phrase_id, order in asked.items():
         by_rarest.setdefault(order[0][0], []).append((phrase_id, order))
@@ -126,6 +119,19 @@ def _prepare(docs, items, window, text, doc_id, max_terms):
     return phrases, by_rarest, index
 
 
+class _Lists(dict):
+    """A document's posting lists by term, as sets made when first asked for; empty for other terms."""
+
+    def __init__(self, terms: np.ndarray, ends: np.ndarray, places: np.ndarray):
+        self.spans = dict(zip(terms.tolist(), zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True), strict=True))
+        self.places = places
+
+    def __missing__(self, term: int) -> frozenset[int]:
+        start, end = self.spans.get(term, (0, 0))
+        self[term] = own = frozenset(self.places[start:end].tolist())
+        return own
+
+
 def _search(index: DataFrame, by_rarest: dict, match, schema: str) -> DataFrame:
     """Run ``match(lists, phrase order)`` for every phrase whose rarest term a document has."""
     shared = index.sparkSession.sparkContext.broadcast(by_rarest)
@@ -134,8 +140,8 @@ def _search(index: DataFrame, by_rarest: dict, match, schema: str) -> DataFrame:
         for batch in batches:
             out = []
             for k1, k2, terms, ends, places in zip(*(batch[c] for c in ("k1", "k2", "terms", "ends", "places")), strict=True):
-                lists = {t: frozenset(x.tolist()) for t, x in zip(terms.tolist(), np.split(places, ends[:-1]), strict=True)}
-                for term in lists.keys() & shared.value.keys():
+                lists = _Lists(terms, ends, places)
+                for term in lists.spans.keys() & shared.value.keys():
                     for phrase_id, order in shared.value[term]:
                         out += [(k1, k2, phrase_id, *found) for found in match(lists, order)]
             yield pd.DataFrame(out, columns=["k1", "k2", "phrase_id", *(c.split()[0] for c in schema.split(", "))])
@@ -149,7 +155,7 @@ def _exact(lists: dict, order: list) -> list[tuple[int, int]]:
     term, offset = order[0]
     starts = {at - offset for at in lists[term] if at >= offset}
     for term, offset in order[1:]:
-        if not starts or term not in lists:
+        if not starts:
             return []
         own = lists[term]
         starts = {s for s in starts if s + offset in own}
@@ -171,7 +177,7 @@ def proximity_matches(
 
     def near(lists, order):
         for at in sorted(lists[order[0][0]]):
-            if all(any(at + d in lists.get(t, ()) for d in range(-span, span + 1)) for t in {t for t, _ in order}):
+            if all(any(at + d in lists[t] for d in range(-span, span + 1)) for t in {t for t, _ in order}):
                 return [(at,)]
         return []
 

@@ -1,6 +1,11 @@
 import random
+import re
 
-from sitewise.llm.decontaminate import contamination, proximity_matches, terms_of
+from sitewise.llm.decontaminate import contamination, proximity_matches
+
+
+def terms_of(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
 def brute(docs, items, window=10):

@@ -4,7 +4,6 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 from sitewise.llm.catalog import toxicity_model
-from sitewise.llm.decontaminate import terms_of
 from sitewise.llm.toxicity import score_toxicity
 
 DIR = "/root/testdata/sf0.001"
@@ -14,6 +13,10 @@ def lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
+def terms_of(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
