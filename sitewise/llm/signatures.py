@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+from sitewise.llm.common import word_bytes
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -21,15 +19,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts, size: int = 5) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word shingles. Fewer words: one shingle of all."""
-    known: dict[str, int] = {}
+    known: dict[bytes, int] = {}
     words, counts = [], []
     for t in texts:
-        found = _WORD.findall((t or "").translate(_LOWER))
+        found = word_bytes(t)
         counts.append(len(found))
         for w in found:
             h = known.get(w)
             if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+                h = known[w] = xxhash.xxh64_intdigest(w)
             words.append(h)
     flat = np.array(words, np.uint64)
     out, at = [], 0
