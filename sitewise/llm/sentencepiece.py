@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+\\Z")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+SEEN_SHIFT = np.uint64(44)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -53,6 +54,7 @@ class Pieces:
     bytes_of: list[bytes]  # what each id decodes to
     byte_ids: np.ndarray  # 256 ids, or empty without byte fallback
     prefix: bool  # a mark before the text
+    seen: np.ndarray  # by the upper bits of a hash: whether a piece has these
 
     @classmethod
     def of(cls, pieces: list[tuple[str, float, int]], prefix: bool = True) -> Pieces:
@@ -64,6 +66,8 @@ class Pieces:
         order = np.argsort(hashed, kind="stable")
         if len(np.unique(hashed)) < len(hashed):
             raise ValueError("two pieces share a hash")
+        seen = np.zeros(1 << (64 - int(SEEN_SHIFT)), bool)
+        seen[hashed >> SEEN_SHIFT] = True
         byte_ids = {int(p[1:-1], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         decoded = [
             bytes([int(p[1:-1], 16)]) if t == BYTE else p.encode() if t in (NORMAL, USER) else b"" for p, _, t in pieces
@@ -74,7 +78,7 @@ class Pieces:
             next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0),
             min((s for _, s, t in pieces if t == NORMAL), default=0.0) - 10,
             decoded, np.array([byte_ids[b] for b in range(256)], np.int32) if len(byte_ids) == 256 else np.empty(0, np.int32),
-            prefix,
+            prefix, seen,
         )
 
     @classmethod
@@ -94,7 +98,7 @@ class Pieces:
             return []
         return _WORDS.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
 
-    def encode_words(self, words: list[str], cells: int = 1 << 18) -> dict[str, np.ndarray]:
+    def encode_words(self, words: list[str], cells: int = 1 << 15) -> dict[str, np.ndarray]:
         """Ids of each distinct word."""
         by_length: dict[int, list[str]] = {}
         for w in dict.fromkeys(words):
@@ -117,44 +121,55 @@ class Pieces:
                 prefix[:, i + 1] = prefix[:, i] * _BASE + codes[:, i]
             for size in range(1, m + 1):
                 power[size] = power[size - 1] * _BASE
-        # Piece ending at e with size s: column m - s, so that starts ascend.
-        score = np.full((n, length + 1, m), -np.inf)
-        piece = np.full((n, length + 1, m), -1, np.int32)
-        for size in range(1, m + 1):
-            with np.errstate(over="ignore"):
-                h = prefix[:, size:] - prefix[:, :length + 1 - size] * power[size]
-                h = h ^ (np.uint64(size) << np.uint64(58))
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            found = self.keys[at] == h
-            score[:, size:, m - size] = np.where(found, self.scores[at], -np.inf)
-            piece[:, size:, m - size] = np.where(found, self.ids[at], -1)
-        bare = piece[:, 1:, m - 1] < 0
-        score[:, 1:, m - 1][bare] = self.unknown_score
-        piece[:, 1:, m - 1][bare] = self.unknown
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((n, length + 1), np.int32)
-        rows = np.arange(n)
+        # Arrays by size, then position, so that all words of a step are side by side.
+        prefix = np.ascontiguousarray(prefix.T)
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0
+        back = np.zeros((length + 1, n), np.int32)
+        piece = np.full((length + 1, n), -1, np.int32)
+        found = {size: self._probe(prefix, size, power[size]) for size in range(1, m + 1)}
         for e in range(1, length + 1):
-            k = min(m, e)
-            sums = best[:, e - k:e] + score[:, e, m - k:]
-            top = sums.argmax(axis=1)
-            best[:, e] = sums[rows, top]
-            back[:, e] = k - top
+            # From the longest piece down: of equal scores the longest wins.
+            for size in range(min(m, e), 0, -1):
+                score, ids = found[size]
+                total = best[e - size] + score[e - size]
+                better = total > best[e]
+                np.copyto(best[e], total, where=better)
+                np.copyto(piece[e], ids[e - size], where=better)
+                back[e][better] = size
+        rows = np.arange(n)
         ends = np.full(n, length)
         steps = []
         while (live := ends > 0).any():
-            size = back[rows, ends]
-            steps.append(np.where(live, piece[rows, ends, np.where(live, m - size, 0)], -1))
-            starts = ends - size
-            ends = np.where(live, starts, 0)
+            steps.append(np.where(live, piece[ends, rows], -1))
+            ends = np.where(live, ends - back[ends, rows], 0)
         path = np.stack(steps[::-1], axis=1)
-        out = []
-        for word, row in zip(words, path, strict=True):
-            ids = row[row >= 0]
-            out.append(self._spelled(word, ids) if len(self.byte_ids) and (ids == self.unknown).any() else ids)
+        used = path >= 0
+        bounds = np.concatenate([[0], np.cumsum(used.sum(1))]).tolist()
+        flat = path[used]
+        out = [flat[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        if len(self.byte_ids):
+            for i in np.flatnonzero((path == self.unknown).any(1)).tolist():
+                out[i] = self._spelled(words[i], out[i])
         return out
 
+    def _probe(self, prefix: np.ndarray, size: int, power: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """(score, id) of the piece of ``size`` characters at each start; -inf and -1 where there is none."""
+        with np.errstate(over="ignore"):
+            h = (prefix[size:] - prefix[:-size] * power) ^ (np.uint64(size) << np.uint64(58))
+        score, ids = np.full(h.shape, -np.inf), np.full(h.shape, -1, np.int32)
+        if size == 1:
+            score[:], ids[:] = self.unknown_score, self.unknown
+        if len(self.keys):
+            # Most substrings are no piece: a table of the upper bits tells before the search.
+            maybe = self.seen[h >> SEEN_SHIFT]
+            probes = h[maybe]
+            at = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+            hit = self.keys[at] == probes
+            maybe[maybe] = hit
+            score[maybe], ids[maybe] = self.scores[at[hit]], self.ids[at[hit]]
+        return score, ids
+
     def _spelled(self, word: str, ids: np.ndarray) -> np.ndarray:
         parts, at = [], 0
         for i in ids.tolist():
@@ -169,10 +184,18 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         split = [self.words(t or "") for t in texts]
         table = self.encode_words([w for words in split for w in words])
-        none = np.empty(0, np.int32)
+        number = {w: i for i, w in enumerate(table)}
+        # One gather for all texts: the ids of each word in turn.
+        sizes = np.array([len(x) for x in table.values()], np.int64)
+        first = np.cumsum(sizes) - sizes
+        known = np.concatenate([np.empty(0, np.int32), *table.values()]).astype(np.int32)
+        which = np.fromiter((number[w] for words in split for w in words), np.int64)
+        own = sizes[which]
+        ends = np.cumsum(own)
+        flat = known[np.repeat(first[which] - ends + own, own) + np.arange(own.sum())]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)].tolist()
         return [
-            None if t is None else np.concatenate([table[w] for w in words]) if words else none
-            for t, words in zip(texts, split, strict=True)
+            None if t is None else flat[a:b] for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)
         ]
 
     def decode(self, ids) -> str:
