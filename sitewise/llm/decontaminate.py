@@ -9,8 +9,10 @@ The index is sharded by document: a row holds a document's posting lists, so the
 phrase are intersected where they are and none is ever shuffled. It holds the terms of the test items only
 (nothing else is ever asked for), and of these only in documents which have the rarest term of at
 least one phrase: others can hold no phrase. It is written to the shared folder once, then
-searched. Terms and phrases of the items are broadcast, their number being checked first: above
-``max_terms`` they are refused; split the items and unite the answers.
+searched by one block of phrases after the other, each broadcast as packed numbers: a block is a
+residue of the phrase's hash and has about ``max_phrases`` phrases. The terms are broadcast as well; should the items have
+more than ``max_terms`` distinct ones, the phrases are first parted until the terms of each part are
+no more, and each part has an index of its own. So neither number is limited.
 
 Shuffles: counts per term; matches. Whole texts are never moved.
 
@@ -21,17 +23,21 @@ its own (repeats share an answer); null item ids match but are left out of item
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.llm.common import TERM_GAP, ascii_lower, row_key, split_words, term_bytes
 from sitewise.sources.scratch import stored
 
 CHUNK = 256  # documents indexed at a time
+CACHE = 10_000  # rarest terms whose phrases a task keeps unpacked
 
 
 def phrases_of(items: DataFrame, window: int = 10, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -88,35 +94,74 @@ def build_index(docs: DataFrame, numbers: dict[bytes, int], rarest: set[int], te
     return stored(keyed.mapInPandas(rows, schema).withColumn("id", F.col("id").cast(kind)), "positional-index")
 
 
-def _ranked(phrases: DataFrame, counts: DataFrame) -> DataFrame:
-    """(phrase_id, len, rank, term, offset): terms of each phrase from the rarest on; terms found
-    nowhere count as 0, and no candidate will have them."""
-    flat = phrases.select("phrase_id", F.size("phrase").alias("len"), F.posexplode("phrase").alias("offset", "term"))
-    known = flat.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    order = F.array_sort(F.collect_list(F.struct("n", "term", "offset")))
-    return known.groupBy("phrase_id", "len").agg(order.alias("o")).select(
-        "phrase_id", "len", F.posexplode("o").alias("rank", "x")
-    ).select("phrase_id", "len", "rank", "x.term", "x.offset")
-
-
-def _prepare(docs, items, window, text, doc_id, max_terms):
-    phrases = stored(
-        phrases_of(items, window).withColumn("phrase_id", F.xxhash64("phrase")), "test-phrases"
-    )
-    terms = stored(phrases.select(F.explode("phrase").alias("term")).distinct(), "test-terms")
-    if (n := max(terms.count(), phrases.count())) > max_terms:
-        raise ValueError(f"{n} distinct terms or phrases in the items, over max_terms={max_terms}: split the items")
-    counts = _term_counts(docs, terms, text)
-    ranked = stored(_ranked(phrases, counts), "ranked-terms")
-    numbers: dict[bytes, int] = {}
-    asked: dict[int, list] = {}
-    for r in ranked.orderBy("phrase_id", "rank").toLocalIterator():
-        asked.setdefault(r.phrase_id, []).append((numbers.setdefault(r.term.encode(), len(numbers)), r.offset))
-    by_rarest: dict[int, list] = {}
-    for phrase_id, order in asked.items():
-        by_rarest.setdefault(order[0][0], []).append((phrase_id, order))
-    index = build_index(docs, numbers, set(by_rarest), text, doc_id)
-    return phrases, by_rarest, index
+def _residue(phrases: DataFrame, count: int, seed: int) -> Column:
+    """A phrase's part or block out of ``count``; different seeds divide independently."""
+    return F.pmod(F.xxhash64(F.lit(seed), "phrase_id"), F.lit(count))
+
+
+def _parts(phrases: DataFrame, n_phrases: int, max_terms: int) -> list[DataFrame]:
+    """``phrases`` in parts of at most ``max_terms`` distinct terms (or of one phrase)."""
+    if phrases.select(F.explode("phrase").alias("term")).distinct().count() <= max_terms:
+        return [phrases]
+    count = 1
+    while count < n_phrases:
+        count *= 2
+        flat = phrases.select(_residue(phrases, count, 1).alias("part"), F.explode("phrase").alias("term")).distinct()
+        if flat.groupBy("part").count().agg(F.max("count")).first()[0] <= max_terms:
+            break
+    return [phrases.where(_residue(phrases, count, 1) == i) for i in range(count)]
+
+
+class _Block:
+    """Phrases by their rarest term, packed; an order is the (term, offset) of a phrase from the
+    rarest term on. Terms are numbered by rarity."""
+
+    def __init__(self, phrases: pa.Table, terms: pa.Array):
+        lists = phrases["phrase"].combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        numbers = pc.index_in(lists.flatten(), value_set=terms).to_numpy(zero_copy_only=False).astype(np.int32)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        offsets = (np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        order = np.lexsort((offsets, numbers, owner))
+        self.terms, self.offsets = numbers[order], offsets[order]
+        self.ends = np.cumsum(sizes)
+        self.ids = phrases["phrase_id"].to_numpy()
+        first = self.terms[self.ends - sizes]
+        self.by_first = np.argsort(first, kind="stable").astype(np.int32)
+        rarest, starts = np.unique(first[self.by_first], return_index=True)
+        self.spans = dict(zip(rarest.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(first)]), strict=True))
+
+    def asked(self, term: int) -> list[tuple[int, list[tuple[int, int]]]]:
+        """(phrase_id, order) of the phrases whose rarest term this is."""
+        out = []
+        for i in self.by_first[slice(*self.spans[term])].tolist():
+            own = slice(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
+            out.append((int(self.ids[i]), list(zip(self.terms[own].tolist(), self.offsets[own].tolist(), strict=True))))
+        return out
+
+
+def _phrases(items: DataFrame, window: int) -> DataFrame:
+    return stored(phrases_of(items, window).withColumn("phrase_id", F.xxhash64("phrase")), "test-phrases")
+
+
+def _prepare(docs, phrases, text, doc_id, max_terms, max_phrases):
+    """For each part of the phrases: its index, and a function which gives its blocks in turn."""
+    total = phrases.count()
+    for part in _parts(phrases, total, max_terms):
+        terms = stored(part.select(F.explode("phrase").alias("term")).distinct(), "test-terms")
+        counts = stored(_term_counts(docs, terms, text), "term-counts")
+        known = terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")).toArrow()
+        # Terms found nowhere come first, and no document will have them.
+        by_rarity = known.sort_by([("n", "ascending"), ("term", "ascending")])["term"].combine_chunks()
+        numbers = {t.encode("utf-8", "surrogatepass"): i for i, t in enumerate(by_rarity.to_pylist())}
+        count = max(1, -(-part.count() // max_phrases))
+
+        def blocks(part=part, by_rarity=by_rarity, count=count):
+            for i in range(count):
+                yield _Block(part.where(_residue(part, count, 2) == i).select("phrase_id", "phrase").toArrow(), by_rarity)
+
+        rarest = set().union(*(block.spans for block in blocks()))
+        yield build_index(docs, numbers, rarest, text, doc_id), blocks
 
 
 class _Lists(dict):
@@ -132,22 +177,26 @@ class _Lists(dict):
         return own
 
 
-def _search(index: DataFrame, by_rarest: dict, match, schema: str) -> DataFrame:
-    """Run ``match(lists, phrase order)`` for every phrase whose rarest term a document has."""
-    shared = index.sparkSession.sparkContext.broadcast(by_rarest)
+def _search(index: DataFrame, block: _Block, match, schema: str) -> DataFrame:
+    """Run ``match(lists, phrase order)`` for every phrase of a block whose rarest term a document has."""
+    shared = index.sparkSession.sparkContext.broadcast(block)
 
     def rows(batches):
+        asked = functools.lru_cache(CACHE)(shared.value.asked)
         for batch in batches:
             out = []
             for k1, k2, terms, ends, places in zip(*(batch[c] for c in ("k1", "k2", "terms", "ends", "places")), strict=True):
                 lists = _Lists(terms, ends, places)
-                for term in lists.spans.keys() & shared.value.keys():
-                    for phrase_id, order in shared.value[term]:
+                for term in lists.spans.keys() & shared.value.spans.keys():
+                    for phrase_id, order in asked(term):
                         out += [(k1, k2, phrase_id, *found) for found in match(lists, order)]
             yield pd.DataFrame(out, columns=["k1", "k2", "phrase_id", *(c.split()[0] for c in schema.split(", "))])
 
     full = f"k1 long, k2 long, phrase_id long, {schema}"
-    return index.where(F.size("terms") > 0).select("k1", "k2", "terms", "ends", "places").mapInPandas(rows, full)
+    found = index.where(F.size("terms") > 0).select("k1", "k2", "terms", "ends", "places").mapInPandas(rows, full)
+    found = stored(found, "phrase-matches")
+    shared.unpersist()
+    return found
 
 
 def _exact(lists: dict, order: list) -> list[tuple[int, int]]:
@@ -162,18 +211,21 @@ def _exact(lists: dict, order: list) -> list[tuple[int, int]]:
     return [(len(order), s) for s in starts]
 
 
-def phrase_matches(index: DataFrame, by_rarest: dict) -> DataFrame:
-    """(k1, k2, phrase_id, len, start): every exact occurrence."""
-    return _search(index, by_rarest, _exact, "len int, start int")
+def _all_matches(docs, phrases, match, schema, text, doc_id, max_terms, max_phrases) -> tuple[DataFrame, DataFrame]:
+    """The matches of all parts and blocks, and an index, which has a row for every document."""
+    found, index = [], None
+    for own, blocks in _prepare(docs, phrases, text, doc_id, max_terms, max_phrases):
+        index = own if index is None else index
+        found += [_search(own, block, match, schema) for block in blocks()]
+    return functools.reduce(DataFrame.unionByName, found), index
 
 
 def proximity_matches(
     docs: DataFrame, items: DataFrame, window: int = 10, span: int = 20, text: str = "text",
-    doc_id: str = "doc_id", max_terms: int = 1_000_000,
+    doc_id: str = "doc_id", max_terms: int = 1_000_000, max_phrases: int = 500_000,
 ) -> DataFrame:
     """(doc_id, phrase, item_ids): phrases all of whose distinct terms occur, in any order, within
     ``span`` words of one occurrence of their rarest term."""
-    phrases, by_rarest, index = _prepare(docs, items, window, text, doc_id, max_terms)
 
     def near(lists, order):
         for at in sorted(lists[order[0][0]]):
@@ -181,20 +233,21 @@ def proximity_matches(
                 return [(at,)]
         return []
 
-    found = _search(index, by_rarest, near, "at int").select("k1", "k2", "phrase_id").distinct()
-    return found.join(phrases, "phrase_id").join(index.select("k1", "k2", F.col("id").alias(doc_id)), ["k1", "k2"]).select(
-        doc_id, "phrase", "item_ids"
-    )
+    phrases = _phrases(items, window)
+    found, index = _all_matches(docs, phrases, near, "at int", text, doc_id, max_terms, max_phrases)
+    return found.select("k1", "k2", "phrase_id").distinct().join(phrases, "phrase_id").join(
+        index.select("k1", "k2", F.col("id").alias(doc_id)), ["k1", "k2"]
+    ).select(doc_id, "phrase", "item_ids")
 
 
 def contamination(
     docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", doc_id: str = "doc_id",
-    max_terms: int = 1_000_000,
+    max_terms: int = 1_000_000, max_phrases: int = 500_000,
 ) -> DataFrame:
     """One row per document: k1, k2 (its row key), doc_id, n_words, n_hit (words inside any
     occurrence), items (ids, sorted as strings) and contaminated."""
-    phrases, by_rarest, index = _prepare(docs, items, window, text, doc_id, max_terms)
-    matches = stored(phrase_matches(index, by_rarest), "phrase-matches")
+    phrases = _phrases(items, window)
+    matches, index = _all_matches(docs, phrases, _exact, "len int, start int", text, doc_id, max_terms, max_phrases)
     hit = matches.select(
         "k1", "k2", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("at")
     ).distinct().groupBy("k1", "k2").agg(F.count("*").alias("hit"))

@@ -51,3 +51,16 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "c x b x a"), (2, "a " + "x " * 50 + "b c"), (3, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(9, "a b c")], "item_id long, text string")
     assert [r.doc_id for r in proximity_matches(docs, items, span=4).collect()] == [1]
+
+
+def test_more_phrases_and_terms_than_fit_at_once(spark):
+    rnd = random.Random(5)
+    word = lambda: "w%d" % rnd.randint(0, 40)
+    items = [(i, " ".join(word() for _ in range(rnd.randint(1, 16)))) for i in range(20)] + [(90, "gone " * 12)]
+    docs = [(i, "a " + rnd.choice(items)[1] + " b " + rnd.choice(items)[1]) for i in range(30)] + [(99, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    for limits in ({"max_phrases": 20}, {"max_terms": 38, "max_phrases": 30}):
+        rows = contamination(df, bench, **limits).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in rows), key=repr) == want
