@@ -7,7 +7,7 @@ same priority which contains it. Built-in columns only; no shuffle at all.
 The text becomes its words, joined by single blanks with one at either end, so a rule sees one
 form whatever the punctuation and line breaks. Nearly all documents have no keyword and stop at
 one hash probe per word. In the rest, a family's rules are one alternation in order of priority
-(its branches are the rules), run only where that family's own keyword is a word of the text.
+(its branches are the rules), run only where a word of the text begins with that family's own keyword.
 
 Priorities: exact identifiers (4), full titles with a version (3), full titles (2), names in a
 licensing phrase (1), loose notices (0). Score: 1 - product of (1 - confidence) over the labels
@@ -21,6 +21,7 @@ output give way to it.
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,7 +53,9 @@ def _family(keyword, label, names, versions=(), spdx=None):
         own = f"{label}-{v}"
         rules.append((keyword, own, rf"spdx license identifier {(spdx or label).replace('-', ' ')} {tail}(?: only| or later)?", 4))
         for name in names:
-            rules.append((keyword, own, rf"{name}(?: {LICENSE})?(?: version| v)? ?{tail}", 3))
+            rules.append((keyword, own, rf"{name}(?: {LICENSE})?(?: version| v|v)? ?{tail}", 3))
+            if v.endswith(".0"):
+                rules.append((keyword, own, rf"{name}(?: {LICENSE})? ?v{v[:-2]}", 3))
     rules.append((keyword, label, rf"spdx license identifier {(spdx or label).replace('-', ' ')}", 4))
     for name in names:
         rules.append((keyword, label, rf"{name} {LICENSE}", 2))
@@ -117,7 +120,11 @@ FAMILIES = [
     [("proprietary", "proprietary", r"proprietary and confidential", 1)],
 ]
 RULES = [rule for family in FAMILIES for rule in family]
-KEYWORDS = sorted({rule[0] for rule in RULES})
+#: What opens the gate: the keywords, and those written as one word with a version's first number (gpl3, gplv3).
+KEYWORDS = sorted({rule[0] for rule in RULES} | {
+    f"{keyword}{v}{label.rsplit('-', 1)[1][0]}"
+    for keyword, label, _, priority in RULES if priority == 3 and re.search(r"-\d[^-]*$", label) for v in ("", "v")
+})
 
 
 def _grouped():
@@ -132,9 +139,9 @@ SPANS = "array<struct<start:int,end:int,priority:int,label:string>>"
 
 
 def _rules() -> Column:
-    """The rules as one constant, keywords padded to whole words."""
+    """The rules as one constant, keywords as beginnings of words."""
     rows = [
-        {"k": f" {keyword} ", "p": r"(?<= )(?:" + "|".join(patterns) + r")(?= )", "l": label, "n": priority}
+        {"k": f" {keyword}", "p": r"(?<= )(?:" + "|".join(patterns) + r")(?= )", "l": label, "n": priority}
         for (keyword, label, priority), patterns in _grouped().items()
     ]
     return F.from_json(F.lit(json.dumps(rows)), "array<struct<k:string,p:string,l:string,n:int>>")

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from sitewise.llm.license_scan import BASE, scan_licenses
+from sitewise.llm.license_scan import BASE, RULES, scan_licenses
 
 TEXTS = [
     (1, "Released under the MIT License."),
@@ -47,3 +47,23 @@ def test_labels_and_suppression(found):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_versions_in_one_word(spark):
+    texts = {
+        "MPL2.0": "mpl-2.0", "GPL3": "gpl-3", "LGPL2.1": "lgpl-2.1", "EPL1.0": "epl-1.0", "CeCILL2.1": "cecill-2.1", "GPLv3": "gpl-3",
+        "LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3", "GPLv2+": "gpl-2", "MPLv2": "mpl-2.0", "Apache v2": "apache-2.0", "EUPLv1.2": "eupl-1.2",
+    }
+    rows = scan_licenses(spark.createDataFrame([(f"It is {t}, see there.",) for t in texts], "text string")).collect()
+    assert {r.text[6:-12]: r.labels for r in rows} == texts
+
+
+def test_every_versioned_rule_passes_its_own_gate(spark):
+    wanted = []
+    for _, label, pattern, priority in RULES:
+        if priority == 3 and "(?: version| v|v)? ?" in pattern:
+            name, tail = pattern.replace(" ?commercial", " commercial").replace(" ?deriv", " deriv").replace(" ?alike", " alike").replace(
+                "\\w+", "atives").split("(?: licen[sc]e)?(?: version| v|v)? ?")
+            wanted += [(f"{name}{v}{tail}", label) for v in ("", "v", " ", " v", " version ")]
+    rows = scan_licenses(spark.createDataFrame(wanted, "text string, want string")).collect()
+    assert len(rows) > 300 and [r.text for r in rows if r.want not in r.labels.split(",")] == []
