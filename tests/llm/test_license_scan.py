@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from sitewise.llm.license_scan import BASE, RULES, scan_licenses
+from sitewise.llm.license_scan import BASE, RULES, WORDING, scan_licenses
 
 TEXTS = [
     (1, "Released under the MIT License."),
@@ -67,3 +67,27 @@ def test_every_versioned_rule_passes_its_own_gate(spark):
             wanted += [(f"{name}{v}{tail}", label) for v in ("", "v", " ", " v", " version ")]
     rows = scan_licenses(spark.createDataFrame(wanted, "text string, want string")).collect()
     assert len(rows) > 300 and [r.text for r in rows if r.want not in r.labels.split(",")] == []
+
+
+def test_wording_without_the_name(spark):
+    texts = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided": "bsd",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software": "bsd-3 clause",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above": "isc",
+        "The origin of this software must not be misrepresented; you must not": "zlib",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered": "bsl",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the": "gpl,gpl-2",
+        "the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of": "gpl,lgpl-2.1",
+        "the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of": "agpl-3,gpl",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+    }
+    rows = scan_licenses(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r.text: r.labels for r in rows} == texts
+
+
+def test_wording_holds_its_keyword():
+    assert [p for k, _, p, _ in WORDING if not re.search(rf"(?<![a-z]){k}", p)] == []
