@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,15 @@ NOISE_NAME = re.compile(
     re.I,
 )
 NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What may stand in <head>; anything else ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noscript script style template title".split())
+#: Elements whose end tag may be missing, by the start tags which end them.
+_ITEM, _TERM, _CELL, _ROWS = {"li"}, {"dd", "dt"}, {"td", "th"}, {"thead", "tbody", "tfoot", "caption", "colgroup"}
+ENDS = {
+    "li": _ITEM, "dd": _TERM, "dt": _TERM, "td": _CELL | {"caption"}, "th": _CELL | {"caption"}, "tr": _CELL | {"tr", "caption", "colgroup"},
+    **{t: _CELL | _ROWS | {"tr"} for t in _ROWS}, "option": {"option"}, "optgroup": {"option", "optgroup"},
+}
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
@@ -92,8 +102,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     prose = at = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, noise, article, link
-    noise = article = link = 0
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, noise, article, link, heading
+    noise = article = link = heading = 0
+    opened: Counter[str] = Counter()
 
     def end_line():
         nonlocal prose
@@ -105,21 +116,42 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
     def say(text: str):
         nonlocal prose
+        if text and stack and stack[-1][0] == "head" and not text.isspace():
+            pop()
         if text and not noise:
             parts.append(text)
-            if not link:
+            if not link or heading:
                 prose += len(text)
 
     def push(tag, attrs):
-        nonlocal noise, article, link
-        marks = (tag, _is_noise(tag, attrs), _is_article(tag, attrs), tag == "a")
-        noise, article, link = noise + marks[1], article + marks[2], link + marks[3]
+        nonlocal noise, article, link, heading
+        marks = (tag, _is_noise(tag, attrs), _is_article(tag, attrs), tag == "a", tag in HEADINGS)
+        noise, article, link, heading = noise + marks[1], article + marks[2], link + marks[3], heading + marks[4]
+        opened[tag] += 1
         stack.append(marks)
 
     def pop():
-        nonlocal noise, article, link
-        _, n, a, k = stack.pop()
-        noise, article, link = noise - n, article - a, link - k
+        nonlocal noise, article, link, heading
+        tag, n, a, k, h = stack.pop()
+        noise, article, link, heading = noise - n, article - a, link - k, heading - h
+        opened[tag] -= 1
+
+    def end_open(tag):
+        """End what ``tag`` follows without an end tag: cells and rows of this table, items of this list."""
+        ends = ENDS[tag]
+        if not any(opened[t] for t in ends):
+            return
+        last = None
+        for k in range(len(stack) - 1, -1, -1):
+            own = stack[k][0]
+            if own in ends:
+                last = k
+                if tag in ("li", "dd", "dt"):
+                    break
+            elif own == "table" or (tag in ("li", "dd", "dt") and own not in INLINE and own not in ("p", "div", "address")):
+                break
+        while last is not None and len(stack) > last:
+            pop()
 
     size = len(page)
     while at < size:
@@ -141,10 +173,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not tag:
             continue
         block = tag not in INLINE
+        if not m[1] and tag not in IN_HEAD and stack and stack[-1][0] == "head":
+            pop()
         if m[1]:
             if block:
                 end_line()
-            if any(s[0] == tag for s in reversed(stack)):
+            if opened[tag]:
                 while stack:
                     top = stack[-1][0]
                     pop()
@@ -172,8 +206,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        if tag == "li" and stack and stack[-1][0] == "li":
-            pop()
+        if tag in ENDS:
+            end_open(tag)
         push(tag, attrs)
     end_line()
     return lines

@@ -48,3 +48,13 @@ def test_linear_time():
 
     took(1000)
     assert took(40_000) < 8 * max(took(10_000), 0.02)
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<head><title>t</title><body><article><p>x</article>", ["x"]),
+    ("<head><meta charset=utf-8><title>t</title><article><p>x</article>", ["x"]),
+    ("<article><table><tr><td class=ad>Buy<td>x<tr class=ad><td>Buy<tr><td>y</table></article>", ["x", "y"]),
+    ("<article><dl><dt>a<dd class=ad>Buy<dt>b<dd>c</dl><ul><li class=ad>Buy <b>it<li>d</ul></article>", ["a", "b", "c", "d"]),
+])
+def test_end_tags_left_out(page, want):
+    assert main_text(page) == "\n\n".join(want)
