@@ -8,9 +8,9 @@ text in links is no content, so menus stay flat.
 Regions which say what they are help the distribution. Elements for menus, headers, footers,
 sidebars, forms, scripts and styles, and elements whose class, id or role names such a thing
 (advert, notice, cookie banner, comments and so on) are stripped with their markup. Where the
-page marks its article (<article>, <main>, role=main, itemprop=articleBody), the lines of that
-region weigh as text and the others as none, so that surge and dive are its first and last line
-and one-word paragraphs inside it stay. Only pages without a mark depend on lengths alone.
+page marks its article (<article>, <main>, role=main, itemprop=articleBody), each line of that
+region weighs as much as a surge at least, so that one-word paragraphs inside it stay. Lines outside the mark are judged by their own
+sums, and the two kinds never share a window: a short line beside the region is not drawn in.
 
 One pass per page, linear in its length; no shuffle. Pages are independent of each other.
 
@@ -22,6 +22,7 @@ each; empty tables work; other columns are kept, those named like an output give
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections import Counter
 
@@ -84,8 +85,12 @@ def _attributes(text: str) -> dict[str, str]:
 def _is_noise(tag: str, attrs: dict[str, str]) -> bool:
     if tag in NOISE:
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return False
+    if tag == "article":
+        # Whole names only: an article's class may tell of its comments ("comments-open").
+        names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+        return "hidden" in attrs or any(NOISE_NAME.fullmatch(re.sub(r"[-_]?\d+$", "", n)) for n in names)
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in NOISE_ROLE:
         return True
     if re.search(r"display\s*:\s*none", attrs.get("style", "")):
@@ -216,27 +221,37 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_lines(lines: list[tuple[str, int, bool]], window: int = 3, surge: int = 120) -> list[str]:
     """The lines between surges and dives of the window sums.
 
-    A run of lines starts where the sum of ``window`` lines reaches ``surge`` characters and ends
-    where it has fallen to nothing. Lines of a marked article have at least the weight of a surge.
+    A run of lines starts where the sum of ``window`` lines reaches ``surge`` characters, and back over
+    the lines of text which lead there; it ends with its last line of text before the sum has fallen to nothing, and keeps
+    every line between. Lines of a marked article have at least the weight of a surge; marked and
+    unmarked stretches have windows of their own.
     """
     if not lines:
         return []
-    if any(a for _, _, a in lines):
-        weights = np.array([max(n, surge) if a else 0 for _, n, a in lines], float)
-        reach = 1  # the mark itself says where the region ends
-    else:
-        weights = np.array([n if n >= len(t) / 2 else 0 for t, n, _ in lines], float)
-        reach = window
-    sums = np.convolve(weights, np.ones(reach))[reach - 1:]
-    surge = min(surge, sums.max() / 2)  # a short page has a low surge
-    kept, inside = [], False
-    for i, (text, _, _) in enumerate(lines):
-        if not inside and weights[i] > 0 and sums[i] >= surge:
-            inside = True
-        elif inside and sums[i] == 0:
-            inside = False
-        if inside and weights[i] > 0:
-            kept.append(text)
+    # Mostly links: nothing, but for a long share of prose.
+    weights = [max(n, surge) if a else n if n >= min(len(t) / 2, surge / 2) else 0 for t, n, a in lines]
+    stretches = [[i for i, _ in own] for _, own in itertools.groupby(enumerate(lines), lambda x: x[1][2])]
+    sums = []
+    for own in stretches:
+        w = np.array([weights[i] for i in own], float)
+        sums.append(np.convolve(w, np.ones(window))[window - 1:])  # each line and those after it
+    if not any(a for _, _, a in lines):
+        surge = min(surge, sums[0].max() / 2)  # a short page has a low surge
+    kept = []
+    for own, total in zip(stretches, sums, strict=True):
+        at = free = 0  # free: the first line no run has taken
+        while at < len(own):
+            if weights[own[at]] == 0 or total[at] < surge:
+                at += 1
+                continue
+            start = last = at
+            while start > free and weights[own[start - 1]] > 0:
+                start -= 1
+            while at < len(own) and total[at] > 0:
+                last = at if weights[own[at]] > 0 else last
+                at += 1
+            kept += [lines[i][0] for i in own[start:last + 1]]
+            free = at
     return kept
 
 

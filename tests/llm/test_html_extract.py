@@ -50,6 +50,19 @@ def test_linear_time():
     assert took(40_000) < 8 * max(took(10_000), 0.02)
 
 
+@pytest.mark.parametrize("page,want", [
+    # A mark elsewhere neither hides the body nor keeps the comments.
+    (f"<div id=content><h2>Head</h2><p>{LONG}</p></div><article class='comment'><p>{LONG} No.</p></article>", ["Head", LONG.strip()]),
+    (f"<div id=content><p>{LONG}</p></div><article class=post><p>Teaser.</p></article>", [LONG.strip(), "Teaser."]),
+    (f"<article class='post comments-open'><p>{LONG}</p></article>", [LONG.strip()]),
+    # Lines of links between surge and dive, headings in links, short opening lines.
+    (f"<div><p>{LONG}</p><p><a href=x>See the other one</a></p><p>{LONG}</p></div>", [LONG.strip(), "See the other one", LONG.strip()]),
+    (f"<div><h1><a href=x>Head</a></h1><p>By me</p><p>Today</p><p>Now</p><p>{LONG}</p></div>", ["Head", "By me", "Today", "Now", LONG.strip()]),
+])
+def test_sums_decide(page, want):
+    assert main_text(page) == "\n\n".join(want)
+
+
 @pytest.mark.parametrize("page,want", [
     ("<head><title>t</title><body><article><p>x</article>", ["x"]),
     ("<head><meta charset=utf-8><title>t</title><article><p>x</article>", ["x"]),
