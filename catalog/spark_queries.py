@@ -303,7 +303,8 @@ def site_rollup(spark, d):
 @query
 def site_text(spark, d):
     records = page_records(I.site_fetches(spark, d))
-    return sites.combine_texts(records.where("ok"), "row_id", "pos", "url", "main_text")
+    combined = sites.combine_texts(records.where("ok"), "row_id", "pos", "url", "main_text")
+    return combined.select("row_id", "combined_text")
 
 
 @query
@@ -311,7 +312,7 @@ def conversation_text(spark, d):
     """Ordered combine of conversations; the speaker stands for the URL."""
     return sites.combine_texts(
         I.table(spark, d, "conversations"), "conv_id", "turn", "role", "text"
-    )
+    ).select("conv_id", "combined_text")
 
 
 def _site_output(spark, d):

@@ -35,7 +35,8 @@ def combine_texts(
     pages: DataFrame, key: str, order: str, url: str, text: str,
     max_chars: int = K.MAX_CHARS_FULL,
 ) -> DataFrame:
-    """Ordered combined text per key, cut to ``max_chars``; for groups of any size.
+    """Ordered combined text per key, cut to ``max_chars``; for groups of any size. Beside it
+    ``n_chars``, the length of the whole text, and ``truncated``, whether it is longer than the cut one.
 
     Every part brings its URL line and rule, so the result is full after a known
     number of parts, and the rest of a group is dropped ahead of the exchange.  Of
@@ -59,8 +60,17 @@ def combine_texts(
     listed = F.array_sort(F.collect_list(F.struct(
         F.col("_n").alias("pos"), F.col("_url").alias("url"), F.col("_text").alias("text")
     )))
-    return parts.groupBy(key).agg(listed.alias("_parts")).select(
-        key, F.substring(combined(F.col("_parts")), 1, max_chars).alias("combined_text")
+    # Lengths of whole groups: partial sums, no group in one task. A part without URL is in no text.
+    some, body = ~empty, F.length(url) + F.length(text) + len("URL: \n")
+    bodies = F.count_if(some & F.col(url).isNotNull())
+    whole = F.when(F.count_if(some) == 0, 0).otherwise(
+        2 + F.coalesce(F.sum(F.when(some, body)), F.lit(0)) + F.greatest(bodies - 1, F.lit(0)) * (len(RULE) + 4)
+    )
+    lengths = pages.groupBy(F.col(key).alias("_key")).agg(whole.cast("bigint").alias("n_chars"))
+    texts = parts.groupBy(key).agg(listed.alias("_parts"))
+    return texts.join(lengths, F.col(key).eqNullSafe(F.col("_key"))).select(
+        key, F.substring(combined(F.col("_parts")), 1, max_chars).alias("combined_text"),
+        "n_chars", (F.col("n_chars") > max_chars).alias("truncated"),
     )
 
 

@@ -172,3 +172,13 @@ def test_render_queue(spark):
     ])
     got = rows(pages.render_queue(table), "url", "reason")
     assert got == [("u0", "no_html"), ("u1", "js_shell"), ("u2", "short_text"), ("u4", "no_html")]
+
+
+def test_combined_texts_tell_their_whole_length(spark):
+    data = [(1, i, "u%d" % i, "x" * 50) for i in range(40)] + [(2, 0, "u", "y"), (2, 1, None, "z"), (3, 0, "u", ""), (None, 0, "u", "é")]
+    table = spark.createDataFrame(data, "id int, pos int, url string, text string")
+    full = {r.id: r for r in sites.combine_texts(table, "id", "pos", "url", "text").collect()}
+    cut = {r.id: r for r in sites.combine_texts(table, "id", "pos", "url", "text", 1000).collect()}
+    assert len(full) == 4 and all(r.n_chars == len(r.combined_text) and not r.truncated for r in full.values())
+    assert {k: r.n_chars for k, r in cut.items()} == {k: r.n_chars for k, r in full.items()}
+    assert [k for k, r in cut.items() if r.truncated] == [1] and len(cut[1].combined_text) == 1000
