@@ -436,19 +436,15 @@ def upsert_results(spark, d):
 
 # Reports
 
-def _hour():
-    return F.date_trunc("HOUR", F.col("ts"))
-
-
 @query
 def site_time_budget(spark, d):
-    kept = reports.site_time_budget(I.fetch_log(spark, d), _hour(), ["ts", "event_id"])
+    kept = reports.site_time_budget(I.fetch_log(spark, d), None, ["ts", "event_id"])
     return kept.select("event_id", "row_id", "spent_ms")
 
 
 @query
 def progress_timeline(spark, d):
-    return reports.progress_timeline(I.fetch_log(spark, d), _hour(), ["ts", "event_id"]).select(
+    return reports.progress_timeline(I.fetch_log(spark, d), None, ["ts", "event_id"]).select(
         "input_file", "event_id", "processed", "done", "error", "skipped", "rows_total", "pending"
     )
 

@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 from sitewise import constants as K
 from sitewise.functions.text import to_millis
+from sitewise.operators.prefix import ROWS_PER_PART, prefix_sums
 from sitewise.operators.running import running_totals
 
 
 def site_time_budget(
     log: DataFrame,
-    bucket: Column,
+    bucket: Column | None,
     order: list[str],
     budget_sec: float = K.TIME_BUDGET_SEC,
     delay_sec: float = 0.0,
+    rows_per_part: int = ROWS_PER_PART,
 ) -> DataFrame:
     """Fetches of a log for which the site's time before them is within budget.
 
-    For logs of any length; ``spent_ms`` is the time before the fetch.
+    For logs of any length; ``spent_ms`` is the time before the fetch. Without a ``bucket`` the
+    log of a large site is cut by its own order.
     """
     log = log.withColumn("_ms", to_millis(F.col("elapsed_sec")) + round(delay_sec * 1000))
-    run = running_totals(log, ["row_id"], bucket, order, {"_sum": F.col("_ms")})
+    run = _running(log, ["row_id"], bucket, order, {"_sum": F.col("_ms")}, None, rows_per_part)
     return (
         run.withColumn("spent_ms", F.col("_sum") - F.col("_ms"))
         .where(F.col("spent_ms") <= round(budget_sec * 1000))
@@ -30,6 +33,12 @@ def site_time_budget(
     )
 
 
+def _running(df, keys, bucket, order, sums, totals, rows_per_part) -> DataFrame:
+    if bucket is None:
+        return prefix_sums(df, keys, order, sums, totals, rows_per_part)
+    return running_totals(df, keys, bucket, order, sums, totals)
+
+
 def retry_queue(log: DataFrame, order: Column, max_retries: int = K.MAX_RETRIES) -> DataFrame:
     """URLs whose latest status is worth another try and which have tries left."""
     retryable = F.col("status_code").isin(*K.RETRY_STATUSES)
@@ -92,16 +101,20 @@ def failure_sample(failures: DataFrame, order: list[str], limit: int = K.MAX_FAI
 
 
 def progress_timeline(
-    results: DataFrame, bucket: Column, order: list[str], save_every: int = K.SAVE_EVERY
+    results: DataFrame, bucket: Column | None, order: list[str], save_every: int = K.SAVE_EVERY,
+    rows_per_part: int = ROWS_PER_PART,
 ) -> DataFrame:
-    """Counts so far after every ``save_every``-th result of a file and its last."""
+    """Counts so far after every ``save_every``-th result of a file and its last.
+
+    Without a ``bucket`` the results of a large file are cut by their own order.
+    """
     status = F.col("scrape_status")
     sums = {
         "processed": F.lit(1),
         **{s: (status.eqNullSafe(s)).cast("int") for s in ("done", "error", "skipped")},
     }
-    run = running_totals(
-        results, ["input_file"], bucket, order, sums, {"processed": "rows_total"}
+    run = _running(
+        results, ["input_file"], bucket, order, sums, {"processed": "rows_total"}, rows_per_part
     )
     finished = F.col("done") + F.col("error") + F.col("skipped")
     return run.where(
