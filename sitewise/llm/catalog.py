@@ -6,11 +6,13 @@ import os
 
 from pyspark.sql import functions as F
 
+from sitewise.llm.common import ascii_lower
 from sitewise.llm.decontaminate import contamination
 from sitewise.llm.html_extract import extract_pages
 from sitewise.llm.jaccard_join import jaccard_classes
 from sitewise.llm.license_scan import scan_licenses
 from sitewise.llm.line_dedup import drop_frequent_lines
+from sitewise.llm.merkle import digest, encoded, folded, merkle_manifest, siblings
 from sitewise.llm.quality_rules import judge_quality
 from sitewise.llm.sentencepiece import Pieces, with_round_trip
 from sitewise.llm.substring_dedup import cut_repeats
@@ -179,3 +181,17 @@ def op3_jaccard_join(spark, d):
 def op5_suffix_dedup(spark, d):
     out = cut_repeats(table(spark, d, "documents").select("doc_id", "text"), size=400)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept_bytes"), 256).alias("kept_sha256"))
+
+
+@query
+def op11_merkle_manifest(spark, d):
+    """Rows whose id's checksum 5 divides are tampered with: their text is lower-cased."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = digest(*(encoded(F.col(c)) for c in fields[:-1]), encoded(ascii_lower(F.col("text"))))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.unhex(changed))
+    out = merkle_manifest(table(spark, d, "documents"), fields=fields, keep={"tampered": tampered})
+    found = F.coalesce(F.lower(F.hex("tampered")), F.col("leaf"))
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"),
+        folded(found, F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
