@@ -14,10 +14,14 @@ from sitewise.llm.license_scan import scan_licenses
 from sitewise.llm.line_dedup import drop_frequent_lines
 from sitewise.llm.merkle import digest, encoded, folded, merkle_manifest, siblings
 from sitewise.llm.quality_rules import judge_quality
+from sitewise.llm.secret_scan import BASE as BASE_SECRETS
+from sitewise.llm.secret_scan import scan_secrets
 from sitewise.llm.sentencepiece import Pieces, with_round_trip
+from sitewise.llm.sql import MANIFEST, SECRETS
 from sitewise.llm.substring_dedup import cut_repeats
 from sitewise.llm.toxicity import held_out, learn, score_toxicity
 from sitewise.llm.url_filter import host_of, judge_urls
+from sitewise.llm.whitening import whiten
 
 QUERIES = {}
 ORACLE = {}
@@ -134,14 +138,16 @@ def op2_url_filter(spark, d):
 
 
 ORACLE["op2_url_filter"] = r"""
-WITH p AS (
-    SELECT page_id, CASE WHEN contains(url, '://') THEN url END AS u FROM pages
+WITH r AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END || '#' AS rest FROM pages
+), c AS (
+    SELECT page_id, rest, list_min([x FOR x IN [instr(rest, '/'), instr(rest, '?'), instr(rest, '#')] IF x > 0]) AS cut,
+           list_min([x FOR x IN [instr(rest, '?'), instr(rest, '#')] IF x > 0]) AS stop
+    FROM r
 ), h AS (
-    SELECT page_id,
-           translate(coalesce(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1), ''),
-                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-           coalesce(regexp_extract(u, '^(?s:.*?)://[^/?#]*(/[^?#]*)', 1), '') AS path
-    FROM p
+    SELECT page_id, translate(left(rest, cut - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           substring(rest, cut, stop - cut) AS path
+    FROM c
 ), rules(what, h, p) AS (
     VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
            ('block', 'net', '/es/'), ('block', 'net', '/fr/')
@@ -195,3 +201,39 @@ def op11_merkle_manifest(spark, d):
         "doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"),
         folded(found, F.col("path")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+ORACLE["op11_merkle_manifest"] = MANIFEST
+
+
+@query
+def op12_embedding_whitening(spark, d):
+    out = whiten(table(spark, d, "embeddings"))
+    rows = out.select(
+        "vec_id", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "explained", "identity_error",
+        F.posexplode("whitened").alias("at", "whitened"),
+    )
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+        F.col("explained")[F.col("at")].alias("explained"), "identity_error",
+    )
+
+
+@query
+def op13_secret_scan(spark, d):
+    out = scan_secrets(table(spark, d, "documents").select("doc_id", "text"))
+    kinds = [r.kind for r in BASE_SECRETS]
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    return out.select(
+        "doc_id", *map(count, kinds), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"),
+    )
+
+
+ORACLE["op13_secret_scan"] = SECRETS

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,13 +42,17 @@ RULES = (
 )
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty without one."""
+    return F.regexp_extract(url, r"(?s)://(.*)", 1)
+
+
 def host_of(url: Column) -> Column:
-    after = F.substring_index(F.regexp_extract(url, r"(?s)://(.*)", 1), "/", 1)
-    return ascii_lower(F.regexp_extract(after, r"(?s)^([^/?#]*)", 1))
+    return ascii_lower(F.regexp_extract(_after_scheme(url), r"(?s)^([^/?#]*)", 1))
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -60,6 +65,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+class TooLarge(ValueError):
+    """A cascade would take more memory than it may."""
+
+
 @dataclass
 class Cascade:
     levels: list[np.ndarray] = field(default_factory=list)  # words of 64 bits
@@ -99,6 +108,20 @@ def positions(h1: np.ndarray, h2: np.ndarray, level: int, bits: int, hashes: int
     return (_mix(x) % np.uint64(bits)).astype(np.int64)
 
 
+def _part(h1: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(h1), F.lit(parts))
+
+
+def _cascades(listed: DataFrame, universe: DataFrame, max_bytes: int) -> list[Cascade]:
+    """One cascade, or as many parts by key as it takes for each to keep to ``max_bytes``."""
+    parts = 1
+    while True:
+        try:
+            return [cascade(listed, universe, max_bytes=max_bytes, parts=parts, part=i) for i in range(parts)]
+        except TooLarge:
+            parts *= 2
+
+
 def _keys(df: DataFrame, key: str) -> DataFrame:
     k = F.coalesce(key, F.lit(""))
     return df.select(F.xxhash64(F.lit(1), k).alias("h1"), F.xxhash64(F.lit(2), k).alias("h2")).distinct()
@@ -109,7 +132,7 @@ def cascade(
     parts: int = 1, part: int = 0,
 ) -> Cascade:
     """The cascade for ``listed`` keys over ``universe``; of ``parts``, only keys of ``part``."""
-    mine = F.pmod(F.xxhash64("h1"), F.lit(parts)) == part
+    mine = _part(F.col("h1"), parts) == part
     everything = _keys(universe, key).where(mine)
     wanted = _keys(listed, key).where(mine).withColumn("listed", F.lit(True))
     split = stored(
@@ -126,7 +149,7 @@ def cascade(
         hashes = max(1, round(-math.log2(rate)))
         bits = max(64, math.ceil(n * hashes / math.log(2) / 64) * 64)
         if result.nbytes + bits // 8 > max_bytes:
-            raise ValueError(f"the cascade is over max_bytes={max_bytes}: build it in parts")
+            raise TooLarge(f"the cascade is over max_bytes={max_bytes}: build it in parts")
 
         places = _placing(level, bits, hashes)
         words = inside.select(F.explode(places("h1", "h2")).alias("at")).select(
@@ -180,18 +203,24 @@ def is_member(df: DataFrame, key: Column, c: Cascade) -> Column:
 def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, max_bytes: int = 256 << 20) -> DataFrame:
     """``pages`` with host, path, rule, listed and verdict. ``listed`` has a column ``key`` of hosts.
 
-    Rules go first; where none fits, a listed host is blocked.
+    Rules go first; where none fits, a listed host is blocked. A list whose cascade would be over
+    ``max_bytes`` is built in parts, each with its own pass over the pages of its keys: no task holds
+    more than one part.
     """
     outputs = ("host", "path", "rule", "listed", "verdict")
-    u = F.when(F.contains(F.col("_u"), F.lit("://")), F.col("_u"))
-    hosts = pages.select(F.col(url).alias("_u")).select(F.coalesce(host_of(u), F.lit("")).alias("key"))
-    filters = cascade(listed, hosts, max_bytes=max_bytes)
-    out = pages.withColumns({"_u": F.col(url)}).withColumns(
-        {"_h": F.coalesce(host_of(u), F.lit("")), "_p": F.coalesce(path_of(u), F.lit(""))}
-    ).withColumn("_m", is_member(pages, F.col("_h"), filters))
-    rule, verdict = rule_of(F.col("_h"), F.col("_p"), rules)
-    own = F.when(F.col("_m"), F.lit("block")).otherwise(F.lit("allow"))
-    return out.select(
-        *[F.col(c) for c in pages.columns if c not in outputs], F.col("_h").alias("host"), F.col("_p").alias("path"),
-        rule.alias("rule"), F.col("_m").alias("listed"), F.coalesce(verdict, own).alias("verdict"),
+    kept = [F.col(c) for c in pages.columns if c.lower() not in outputs]
+    u = F.when(F.contains(F.col(url), F.lit("://")), F.col(url))
+    host, path = F.coalesce(host_of(u), F.lit("")), F.coalesce(path_of(u), F.lit(""))
+    filters = _cascades(listed, pages.select(host.alias("key")), max_bytes)
+    shown = pages.select(F.struct(F.lit(0).alias("none"), *kept).alias("row"), host.alias("host"), path.alias("path"))
+    judged = []
+    for i, one in enumerate(filters):
+        mine = shown if len(filters) == 1 else shown.where(_part(F.xxhash64(F.lit(1), F.col("host")), len(filters)) == i)
+        judged.append(mine.withColumn("listed", is_member(pages, F.col("host"), one)))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    own = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
+    names = [c for c in pages.columns if c.lower() not in outputs]
+    return reduce(DataFrame.unionByName, judged).select(
+        *(F.col("row")[c].alias(c) for c in names), "host", "path", rule.alias("rule"), "listed",
+        F.coalesce(verdict, own).alias("verdict"),
     )

@@ -18,6 +18,9 @@ LONG = "A sentence of the article which says a little more than nothing at all,
     ("<article><p>a < b &lt;c&gt;</p><script>if (a<b) '</p>'</script><!-- <p>no</p> --><p>d", ["a < b <c>", "d"]),
     ("", []), ("no markup at all", ["no markup at all"]), ("<p>x<ta", ["x"]), ("<style>p{}", []),
     ("<main><ul><li>one<li>two</ul></main>", ["one", "two"]),
+    ("<p title=it's>Hello world first paragraph.</p><p>Second isn't para.</p><p>third</p>", ["Hello world first paragraph.", "Second isn't para.", "third"]),
+    ("<p title=it's>Hello there.</p><p>third</p>", ["Hello there.", "third"]), ('<p class="foo>One.</p><p>Two.</p>', ["One.", "Two."]),
+    ("<article><p data-x='a>b' id = \"c>d\" title=x=\"y>One.</p><img alt=\"a > b\" src=x/><p \"odd'>Two.</p></article>", ["One.", "Two."]),
 ])
 def test_pages(page, want):
     assert main_text(page) == "\n\n".join(want)
@@ -71,3 +74,9 @@ def test_sums_decide(page, want):
 ])
 def test_end_tags_left_out(page, want):
     assert main_text(page) == "\n\n".join(want)
+
+
+def test_quotes_never_closed_take_linear_time():
+    start = time.time()
+    text = main_text("<article>" + "<p title=it's class='a>word " * 20_000 + "</article>")
+    assert "word" in text and time.time() - start < 10

@@ -33,7 +33,8 @@ def plain(url):
 
 def test_rules_and_verdicts(spark):
     urls = [None, "", "no scheme", "http://", "https://A.Example.COM/en/x?y=/z#q", "http://www.example.com/en/", "http://example.com/de",
-            "http://x.net/es/1", "http://x.net#/fr/", "http://bad.org/p", "http://BAD.org", "http://É.org/a", "x://y://z/en/", "http://com/", "http://net/fr/"]
+            "http://x.net/es/1", "http://x.net#/fr/", "http://bad.org/p", "http://BAD.org", "http://É.org/a", "x://y://z/en/", "http://com/", "http://net/fr/",
+            "http://x.net?u=http://y/es/a", "http://h#z://q/es/", "http://x.net/de?u=http://y/es/a", "a://b", "://net/es/", "http://x.net/es/#://y/fr/"]
     pages = spark.createDataFrame([(i % 4 or None, u, "mine") for i, u in enumerate(urls + urls[:3])], "page_id long, url string, rule string")
     listed = spark.createDataFrame([("bad.org",), ("bad.org",)], "key string")
     out = judge_urls(pages, listed).collect()
@@ -44,3 +45,13 @@ def test_rules_and_verdicts(spark):
         assert r.verdict == (verdict or ("block" if host == "bad.org" else "allow"))
     assert judge_urls(pages.limit(0), listed).count() == 0
     assert judge_urls(pages, listed.limit(0)).where("listed").count() == 0
+
+
+def test_a_large_list_is_judged_in_parts(spark):
+    hosts = [f"h{i}.example" for i in range(450)]
+    pages = spark.createDataFrame([(i, f"http://{h}/x", 1, 2) for i, h in enumerate(hosts)], "page_id long, url string, _m int, Host int")
+    listed = spark.createDataFrame([(h,) for h in hosts[::3]], "key string")
+    whole, parted = judge_urls(pages, listed), judge_urls(pages, listed, max_bytes=100)
+    assert parted.columns == ["page_id", "url", "_m", "host", "path", "rule", "listed", "verdict"]
+    assert sorted(parted.collect()) == sorted(whole.collect())
+    assert {r.page_id for r in parted.where("verdict = 'block'").collect()} == set(range(0, 450, 3))
