@@ -50,6 +50,32 @@ def site_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetches(pages(spark, sf_dir))
 
 
+def refetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages fetched up to three times: plainly, plainly again, and by a browser.
+
+    Every fourth page is blocked at first, some browsers fail, and some fetches are logged twice.
+    """
+    page, n = F.col("page_id"), F.col("n")
+    blocked, failed = (n == 0) & (page % 4 == 0), (n == 2) & (page % 6 != 0)
+    tries = F.filter(
+        F.array(*map(F.lit, (0, 1, 2))),
+        lambda i: (i == 0) | ((i == 1) & (page % 4 < 2)) | ((i == 2) & (page % 3 == 0)),
+    )
+    logged = F.flatten(F.transform(tries, lambda i: F.array_repeat(i, F.when((i == 0) & (page % 10 == 7), 2).otherwise(1))))
+    marks = F.when(n == 1, "<p>again</p>").when(n == 2, "<p>rendered</p>").otherwise("")
+    fetched = site_fetches(spark, sf_dir).withColumn("n", F.explode(logged))
+    return fetched.withColumns({
+        "final_url": F.when(n == 0, F.col("final_url")).otherwise(""),
+        "status_code": F.when(blocked, 503).when((n == 1) & (page % 8 == 1), 500).when(n == 1, 200).when(n == 0, F.col("status_code")),
+        "content_type": F.when(n == 0, F.col("content_type")).otherwise("text/html"),
+        "method": F.when(n == 2, "playwright").otherwise("requests"),
+        "html": F.when(blocked | failed, "").otherwise(F.concat("html", marks)),
+        "error": F.when(blocked, "blocked").when(failed, "render timeout").otherwise(""),
+        "elapsed_sec": F.col("elapsed_sec") + n,
+        "fetched_at": F.timestamp_add("HOUR", n, F.col("fetched_at")),
+    }).drop("n")
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A site list of the hosts; ``ord`` is the host's first page."""
     host = netloc(F.col("url"))

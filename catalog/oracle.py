@@ -229,6 +229,50 @@ earlier AS (
 ),
 old AS (SELECT * FROM earlier QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY saved) = 1)"""
 
+# Tries 0, 1, 2 of a page; the rank of a try is 2 with a browser's content, 1 with usable content.
+TRIES = """
+tries AS (
+  SELECT page_id, row_id, url, n,
+    CASE WHEN n = 0 THEN final_url ELSE '' END AS final_url,
+    CASE WHEN n = 2 THEN NULL WHEN n = 0 AND page_id % 4 = 0 THEN 503 WHEN n = 0 THEN status_code
+      WHEN page_id % 8 = 1 THEN 500 ELSE 200 END AS status_code,
+    n > 0 OR content_type <> 'application/pdf' AS is_page,
+    CASE WHEN n = 2 THEN 'playwright' ELSE 'requests' END AS method,
+    CASE WHEN (n = 0 AND page_id % 4 = 0) OR (n = 2 AND page_id % 6 <> 0) THEN ''
+      ELSE html || ['', '<p>again</p>', '<p>rendered</p>'][n + 1] END AS html,
+    CASE WHEN n = 0 AND page_id % 4 = 0 THEN 'blocked' WHEN n = 2 AND page_id % 6 <> 0 THEN 'render timeout' ELSE '' END AS error,
+    elapsed_ms + 1000 * n AS elapsed_ms, fetched_at + to_hours(n) AS fetched_at
+  FROM {fetched}, (VALUES (0), (1), (2)) t(n)
+  WHERE n = 0 OR (n = 1 AND page_id % 4 < 2) OR (n = 2 AND page_id % 3 = 0)
+),
+logged AS (
+  SELECT *, CASE WHEN html = '' THEN 0 WHEN n = 2 THEN 2 WHEN status_code < 400 AND is_page THEN 1 ELSE 0 END AS rank FROM tries
+  UNION ALL
+  SELECT *, CASE WHEN html = '' THEN 0 WHEN status_code < 400 AND is_page THEN 1 ELSE 0 END FROM tries WHERE n = 0 AND page_id % 10 = 7
+),
+picked AS (
+  SELECT page_id, row_id, url, max(rank) AS rank, max_by(n, 10 * rank + n) AS stands, max(n) FILTER (n < 2) AS plain,
+    count(*) AS fetch_count, sum(elapsed_ms) AS elapsed_ms, min(fetched_at) AS fetched_at, max(fetched_at) AS last_fetched_at,
+    bool_or(n = 2 AND rank = 0) AS render_failed
+  FROM logged GROUP BY ALL
+),
+merged AS (
+  SELECT p.page_id, p.row_id, p.url, coalesce(nullif(s.final_url, ''), t.final_url) AS final_url, t.status_code, s.method, s.html, p.rank,
+    trim(t.error || CASE WHEN p.rank < 2 AND render_failed THEN ' render timeout' ELSE '' END) AS error,
+    p.elapsed_ms, p.fetched_at, p.last_fetched_at, p.fetch_count
+  FROM picked p JOIN tries s ON s.page_id = p.page_id AND s.n = p.stands
+  JOIN tries t ON t.page_id = p.page_id AND t.n = CASE WHEN p.rank = 1 THEN p.stands ELSE p.plain END
+)"""
+
+MERGED_FETCHES = (
+    FETCHES.replace("fetches AS (", "once AS (").replace("usable AS (", f"{TRIES.format(fetched='once').strip()},\nusable AS (")
+    .replace("method = 'playwright' OR (status_code < 400 AND content_type <> 'application/pdf') AS has_html", "rank > 0 AS has_html")
+    .replace("FROM fetches", "FROM merged")
+)
+MERGED_JOB = "WITH " + ",".join((MERGED_FETCHES, HEAD, RECORDS, ROLLUP.replace(
+    "'homepage_failed: HTTP ' || status_code", "'homepage_failed: ' || coalesce(nullif(error, ''), 'HTTP ' || status_code)"
+).replace("max(fetched_at)", "max(last_fetched_at)").replace("SELECT row_id, url, status_code, has_html", "SELECT row_id, url, status_code, error, has_html")))
+
 LOG = """
 log AS (
   SELECT event_id, ts, 'user_' || user_id AS row_id,
@@ -273,6 +317,13 @@ scored AS (
 )"""
 
 
+LANDED_PLANS = PLANS.replace(
+    f"SELECT page_id, {normal('url')} AS home, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin FROM pages",
+    """SELECT page_id, has_html, coalesce(nullif(final_url, ''), url) AS home,
+    regexp_extract(coalesce(nullif(final_url, ''), url), '^[a-z]+://[^/?#]*') AS origin FROM usable WHERE page_id % 7 <> 3""",
+).replace("FROM anchors JOIN bases USING (page_id) GROUP BY ALL", "FROM anchors JOIN bases USING (page_id) WHERE has_html GROUP BY ALL")
+
+
 def plan(limit: int, source: str = "scored") -> str:
     return f"""
 plan AS (
@@ -429,6 +480,27 @@ ORACLE = {
                 ("pages_attempted", "INT"), ("pages_scraped", "INT"), ("total_bytes", "BIGINT"), ("total_text_len", "BIGINT"),
                 ("main_text_len", "INT"), ("pages_planned", "INT"), ("truncated_full", "BOOLEAN"), ("truncated_preview", "BOOLEAN")))})
         FROM sites JOIN results USING (row_id)""",
+    "fetch_merge": f"""WITH {MERGED_FETCHES}
+        SELECT row_id, url, page_id, page_id AS pos, final_url, status_code, method, error, elapsed_ms / 1000.0 AS elapsed_sec,
+          fetched_at, last_fetched_at, fetch_count, length(html) AS html_chars FROM merged""",
+    "site_output_refetched": f"""{MERGED_JOB}
+        SELECT row_id, scrape_status, error_reason, final_url, pages_attempted, pages_scraped, methods_used, http_statuses,
+          total_bytes, total_text_len, duration_sec, started_at, finished_at, visited_urls FROM results""",
+    "site_output_resumed": f"""{MERGED_JOB}, {SITES}, {EARLIER}, done AS (
+          SELECT * FROM earlier WHERE scrape_status = 'done')
+        SELECT row_id, sites.website, coalesce(done.scrape_status, results.scrape_status) AS scrape_status,
+          coalesce(done.error_reason, results.error_reason) AS error_reason,
+          coalesce(done.pages_attempted, results.pages_attempted)::INT AS pages_attempted,
+          CASE WHEN done.row_id IS NULL THEN results.total_bytes END AS total_bytes,
+          coalesce(done.site_title, results.site_title) AS site_title
+        FROM sites LEFT JOIN results USING (row_id) LEFT JOIN done USING (row_id)""",
+    # A home page's links go by the URL where it landed; of a home page which is no HTML there are none.
+    "to_fetch": f"""WITH {FETCHES}, {ANCHORS}, {LANDED_PLANS}, {plan(12)},
+        archived AS (SELECT url FROM fetches WHERE page_id % 7 <> 3)
+        SELECT {row_id('pages.url', 'pages.page_id')} AS row_id, plan.url, plan.pos FROM plan JOIN pages USING (page_id)
+        WHERE plan.pos > 0 AND plan.url NOT IN (SELECT url FROM archived)
+        UNION ALL
+        SELECT {row_id('pages.url', 'pages.page_id')}, fetches.url, 0 FROM fetches JOIN pages USING (page_id) WHERE page_id % 7 = 3""",
     "link_candidates": f"WITH {ANCHORS}, {PLANS}, {plan(12)} SELECT * FROM plan",
     "link_candidates_wide": f"WITH {ANCHORS}, {PLANS}, {plan(30)} SELECT * FROM plan",
     "sitemap_urls": f"""WITH {ANCHORS}, {PLANS}, {SITEMAPS}
@@ -466,7 +538,8 @@ ORACLE = {
           CASE WHEN NOT has_html THEN 'homepage_failed: HTTP ' || status_code ELSE '' END AS error_reason,
           coalesce(nullif(known.final_url, ''), known.url) AS final_url,
           has_html::INT AS pages_attempted, text_len AS total_text_len,
-          CASE WHEN has_html THEN coalesce(nullif(known.final_url, ''), known.url) ELSE '' END AS visited_urls
+          CASE WHEN has_html THEN coalesce(nullif(known.final_url, ''), known.url) ELSE '' END AS visited_urls,
+          1 AS plan_hits
         FROM pages JOIN normalized USING (page_id) JOIN known ON known.url = normalized.url""",
     "resume_merge": f"""WITH {SITES}, {EARLIER}
         SELECT row_id, ord, CASE WHEN ord % 4 = 0 THEN old.website ELSE sites.website END AS website,
@@ -505,11 +578,45 @@ ORACLE = {
         SELECT message, 1 AS failures FROM failed WHERE n <= 25
         UNION ALL
         SELECT '... and ' || (count(*) - 25) || ' more', count(*) - 25 FROM failed HAVING count(*) > 25""",
-    "run_summary": f"""WITH {LOG}, c AS (
-          SELECT input_file, {COUNTS}, grouping(input_file) = 1 AS is_total FROM log GROUP BY ROLLUP (input_file))
-        SELECT CASE WHEN is_total THEN 'totals' ELSE 'file' END AS kind, * EXCLUDE (is_total), {PENDING} FROM c""",
+    "run_summary": f"""WITH {LOG},
+        spans AS (
+          SELECT input_file, false AS is_total, scrape_status, ts AS a, ts + to_milliseconds(ms) AS z FROM log
+          UNION ALL SELECT NULL, true, scrape_status, ts, ts + to_milliseconds(ms) FROM log),
+        -- Each span adds what reaches beyond all spans which began before it.
+        reach AS (
+          SELECT *, max(z) OVER (PARTITION BY is_total, input_file ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far
+          FROM spans),
+        c AS (
+          SELECT is_total, input_file, {COUNTS}, min(a) AS started_at, max(z) AS finished_at,
+            sum(greatest(0, epoch_us(z) - greatest(epoch_us(a), coalesce(epoch_us(far), 0)))) AS busy
+          FROM reach GROUP BY is_total, input_file),
+        p AS (SELECT *, {PENDING} FROM c),
+        failures AS (SELECT DISTINCT 'list' || (page_id // 50) AS input_file FROM pages WHERE page_id // 50 % 3 = 2)
+        SELECT CASE WHEN is_total THEN 'totals' ELSE 'file' END AS kind, input_file, rows_total, rows_done, rows_error, rows_skipped,
+          rows_pending, started_at, finished_at, round(epoch_us(finished_at - started_at) / 1000000.0::DOUBLE, 3) AS duration_sec,
+          round((busy / 1000000.0)::DOUBLE, 3) AS busy_sec,
+          CASE WHEN is_total THEN (SELECT count(DISTINCT input_file) FROM log) + (SELECT count(*) FROM failures) END AS files_total,
+          CASE WHEN is_total THEN (SELECT count(*) FROM p q WHERE NOT q.is_total AND q.input_file IS NOT NULL AND q.rows_pending = 0) END
+            AS files_completed,
+          CASE WHEN is_total THEN (SELECT count(*) FROM failures) END AS files_failed, NULL::VARCHAR AS message
+        FROM p
+        UNION ALL
+        SELECT 'failure', input_file, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no website column' FROM failures""",
     "incremental_sites": f"""{SITE_JOB}
         SELECT row_id, scrape_status, pages_attempted, pages_scraped, total_bytes, total_text_len, visited_urls,
           site_title FROM results""",
+    "incremental_refetched": f"""{MERGED_JOB}
+        SELECT row_id, scrape_status, error_reason, pages_attempted, http_statuses, total_text_len, duration_sec, visited_urls
+        FROM results""",
+    "live_status_latest": f"""WITH {LOG},
+        latest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY ts DESC, event_id DESC) = 1)
+        SELECT input_file, {COUNTS} FROM latest GROUP BY input_file""",
+    "resume_cycle": f"""
+        WITH one AS ({SITE_JOB} SELECT * FROM results), two AS ({MERGED_JOB} SELECT * FROM results), {SITES.strip()},
+        kept AS (SELECT one.* FROM one JOIN sites USING (row_id) WHERE ord % 2 = 0 AND scrape_status = 'done')
+        SELECT row_id, website, r.scrape_status, r.error_reason, r.pages_attempted, r.total_bytes, r.visited_urls,
+          row_id IN (SELECT row_id FROM kept) AS done_before
+        FROM sites JOIN (
+          SELECT * FROM kept UNION ALL SELECT * FROM two WHERE row_id NOT IN (SELECT row_id FROM kept)) r USING (row_id)""",
     "live_status": f"WITH {LOG} SELECT input_file, {COUNTS} FROM log GROUP BY input_file",
 }

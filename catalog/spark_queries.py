@@ -11,9 +11,11 @@ from catalog import inputs as I
 from sitewise.functions import html as H
 from sitewise.functions import text as X
 from sitewise.functions import urls as U
-from sitewise.operators import domains, links, pages, reports, resume, sites
-from sitewise.plans.site_output import crawl_from_archive, page_records, site_output, site_results
-from sitewise.sources import sinks, tables
+from sitewise.operators import domains, fetches, links, pages, reports, resume, sites
+from sitewise.plans.site_output import (
+    archive_plan, page_records, planned_content, site_output, site_results,
+)
+from sitewise.sources import sinks, snapshots, tables
 from sitewise.sources.scratch import scratch_dir
 from sitewise.streaming import incremental
 
@@ -326,6 +328,32 @@ def _site_output(spark, d):
 QUERIES["site_output"] = _site_output
 
 
+@query
+def fetch_merge(spark, d):
+    """Plain, repeated and rendered fetches of a page as one record."""
+    return fetches.merge_fetches(I.refetches(spark, d)).select(
+        "row_id", "url", "page_id", "pos", "final_url", "status_code", "method", "error", "elapsed_sec", "fetched_at",
+        "last_fetched_at", "fetch_count", F.length("html").alias("html_chars"),
+    )
+
+
+@query
+def site_output_refetched(spark, d):
+    """The whole job over pages which were fetched several times."""
+    return site_output(I.sites(spark, d), I.refetches(spark, d)).select(
+        "row_id", "scrape_status", "error_reason", "final_url", "pages_attempted", "pages_scraped", "methods_used",
+        "http_statuses", "total_bytes", "total_text_len", "duration_sec", "started_at", "finished_at", "visited_urls",
+    )
+
+
+@query
+def site_output_resumed(spark, d):
+    """The whole job over earlier output: finished sites stay as they are."""
+    return site_output(I.sites(spark, d), I.refetches(spark, d), I.earlier_output(spark, d)).select(
+        "row_id", "website", "scrape_status", "error_reason", "pages_attempted", "total_bytes", "site_title",
+    )
+
+
 # Links and crawl plans
 
 def _homes(spark, d):
@@ -398,16 +426,29 @@ def crawl_lookup_wide(spark, d):
 @query
 def archive_crawl(spark, d):
     """From a list of page URLs to the site table, all from the archive."""
-    sheet = I.table(spark, d, "pages").select(
-        F.col("url").alias("website"), F.col("page_id").alias("ord")
-    )
-    found = crawl_from_archive(sheet, I.site_fetches(spark, d))
-    return site_output(sheet, found).select(
+    sheet, archive = _page_sites(spark, d), I.site_fetches(spark, d)
+    plan = archive_plan(sheet, archive)
+    hits = plan.groupBy("row_id").agg(F.count_if("hit").alias("plan_hits"))
+    return site_output(sheet, planned_content(plan, archive)).join(hits, "row_id").select(
         "ord", "row_id", "scrape_status", "error_reason", "final_url", "pages_attempted",
-        "total_text_len", "visited_urls",
+        "total_text_len", "visited_urls", "plan_hits",
+    )
+
+
+def _page_sites(spark, d):
+    return I.table(spark, d, "pages").select(
+        F.col("url").alias("website"), F.col("page_id").alias("ord")
     )
 
 
+@query
+def to_fetch(spark, d):
+    """Planned pages of which the archive has no copy; every seventh page is not archived."""
+    archive = I.site_fetches(spark, d).where(F.col("page_id") % 7 != 3)
+    plan = archive_plan(_page_sites(spark, d), archive)
+    return links.to_fetch(plan).select("row_id", "url", "pos")
+
+
 # Resume
 
 @query
@@ -422,6 +463,29 @@ def resume_merge(spark, d):
     )
 
 
+@query
+def resume_cycle(spark, d):
+    """The job run twice where its output lies: half of the sites first, then all over the first output."""
+    path = scratch_dir(spark, "cycle")
+    sheet = I.sites(spark, d)
+
+    def run(fetched):
+        earlier = snapshots.read_output(spark, f"{path}/output")
+        snapshots.write_version(site_output(sheet, fetched, earlier).drop("ord"), f"{path}/output")
+        snapshots.write_done_ids(snapshots.read_output(spark, f"{path}/output"), f"{path}/done")
+
+    half = sheet.where(F.col("ord") % 2 == 0).select("row_id")
+    run(I.site_fetches(spark, d).join(half, "row_id", "left_semi"))
+    done = snapshots.read_done_ids(spark, f"{path}/done").select("row_id", F.lit(True).alias("done_before"))
+    run(I.refetches(spark, d))
+    # Two versions are kept, so the checkpoint of the first run can still be read.
+    output = snapshots.read_output(spark, f"{path}/output").join(done, "row_id", "left")
+    return output.select(
+        "row_id", "website", "scrape_status", "error_reason", "pages_attempted", "total_bytes", "visited_urls",
+        F.coalesce("done_before", F.lit(False)).alias("done_before"),
+    )
+
+
 @query
 def upsert_results(spark, d):
     table = resume.resume_merge(I.sites(spark, d), I.earlier_output(spark, d), "saved")
@@ -470,7 +534,11 @@ def failure_sample(spark, d):
 @query
 def run_summary(spark, d):
     path = scratch_dir(spark, "summary")
-    summary = reports.run_summary(I.fetch_log(spark, d))
+    log = I.fetch_log(spark, d).withColumn("started_at", F.col("ts"))
+    log = log.withColumn("finished_at", F.timestamp_add("MILLISECOND", X.to_millis(F.col("elapsed_sec")), F.col("ts")))
+    sheets = I.table(spark, d, "pages").select(F.floor(F.col("page_id") / 50).alias("sheet")).where("sheet % 3 = 2").distinct()
+    failures = sheets.select(F.concat(F.lit("list"), F.col("sheet").cast("string")).alias("input_file"), F.lit("no website column").alias("message"))
+    summary = reports.run_summary(log, failures)
     sinks.write_summary(summary, path)
     return spark.read.schema(summary.schema).json(path)
 
@@ -494,6 +562,31 @@ def incremental_sites(spark, d):
     )
 
 
+@query
+def incremental_refetched(spark, d):
+    """Pages fetched several times, over batches; the end state equals the batch job's."""
+    work = scratch_dir(spark, "incremental")
+    source = I.refetches(spark, d).withColumn("part", F.pmod(F.hour("fetched_at") + F.col("page_id"), F.lit(6)))
+    schema = source.drop("part").schema
+    source.repartition("part").write.partitionBy("part").parquet(f"{work}/source")
+    incremental.run_incremental_sites(spark, f"{work}/source/part=*", schema, f"{work}/state", slices=4, max_files_per_trigger=1)
+    return incremental.current_results(spark, f"{work}/state").select(
+        "row_id", "scrape_status", "error_reason", "pages_attempted", "http_statuses", "total_text_len", "duration_sec", "visited_urls",
+    )
+
+
+@query
+def live_status_latest(spark, d):
+    """Counts by status of each site's latest result, as results arrive in no order."""
+    work = scratch_dir(spark, "live")
+    results = I.fetch_log(spark, d).select("row_id", "input_file", "scrape_status", "ts", "event_id")
+    results.repartition(5, "event_id").write.parquet(f"{work}/source")
+    incremental.run_live_status(
+        spark, f"{work}/source", results.schema, work, order=("ts", "event_id"), slices=4, max_files_per_trigger=1,
+    )
+    return incremental.live_status(spark, work)
+
+
 @query
 def live_status(spark, d):
     work = scratch_dir(spark, "live")

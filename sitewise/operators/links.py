@@ -13,6 +13,7 @@ from sitewise.functions import html as H
 from sitewise.functions import links as L
 from sitewise.functions import urls as U
 from sitewise.functions.text import let, on
+from sitewise.operators.bloom import may_match
 from sitewise.operators.stages import settled
 
 
@@ -182,6 +183,38 @@ def latest_by_url(archive: DataFrame, order: str = "fetched_at") -> DataFrame:
     )
 
 
+#: What names a copy of a page in an archive.
+COPY = ["url", "fetched_at", "page_id"]
+
+
+def newest_copies(archive: DataFrame, urls: DataFrame) -> DataFrame:
+    """The newest copy's ``url, fetched_at, page_id`` of the URLs asked for, and of a few others.
+
+    Narrow columns only; copies of other URLs go in the scan stage. ``urls`` should be stored.
+    """
+    return latest_by_url(may_match(archive.select(*COPY), urls, ["url"]))
+
+
+def copies(archive: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Archive rows which may be among the copies wanted; nearly all others go in the scan stage.
+
+    ``wanted`` should be stored; an exact join on ``COPY`` is to follow.
+    """
+    return may_match(archive, wanted, COPY)
+
+
+def join_copies(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """The exact join on ``COPY``; nulls are equal."""
+    renamed = found.withColumnsRenamed({c: f"_k_{c}" for c in COPY})
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in COPY]
+    return wanted.join(renamed, on).drop(*(f"_k_{c}" for c in COPY))
+
+
+def to_fetch(plan: DataFrame) -> DataFrame:
+    """Planned pages which the archive does not have, in the order in which a site wants them."""
+    return plan.where(~F.col("hit")).select("row_id", "url", "pos")
+
+
 def crawl_lookup(plan: DataFrame, archive: DataFrame) -> DataFrame:
     """Answer a crawl plan from an archive of pages; ``hit`` is false on a miss.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise import constants as K
-from sitewise.functions.text import to_millis
+from sitewise.functions.text import seconds_between, to_millis
 from sitewise.operators.prefix import ROWS_PER_PART, prefix_sums
 from sitewise.operators.running import running_totals
 
@@ -122,15 +122,78 @@ def progress_timeline(
     ).withColumn("pending", F.greatest(F.lit(0), F.col("rows_total") - finished))
 
 
-def run_summary(output: DataFrame) -> DataFrame:
-    """Report rows of a run: one per file and one of totals.
+def _micros(time: Column) -> Column:
+    return F.unix_micros(time.cast("timestamp"))
+
+
+def busy_time(
+    spans: DataFrame, keys: list[str], start: str = "started_at", end: str = "finished_at", rows_per_part: int = ROWS_PER_PART,
+) -> DataFrame:
+    """Microseconds of each key during which at least one of its spans ran, as ``busy``.
+
+    A sweep over starts and ends: a busy period begins where the number of running spans leaves 0 and ends
+    where it comes back, so running sums of +1 and -1 tell all. Spans without a start or an end do not
+    count, nor do those which end before they start.
+    """
+    known = spans.select(*keys, _micros(F.col(start)).alias("_from"), _micros(F.col(end)).alias("_to")).where("_to > _from")
+    marks = known.select(*keys, F.explode(F.array(
+        F.struct(F.col("_from").alias("at"), F.lit(1).alias("step")), F.struct(F.col("_to").alias("at"), F.lit(-1).alias("step")),
+    )).alias("m")).groupBy(*keys, F.col("m.at").alias("_at")).agg(F.sum("m.step").alias("_step")).where("_step <> 0")
+    run = prefix_sums(marks, keys, ["_at"], {"_depth": F.col("_step")}, rows_per_part=rows_per_part)
+    at = F.col("_at").cast("decimal(38,0)")
+    turn = F.when(F.col("_depth") == F.col("_step"), -at).when(F.col("_depth") == 0, at)
+    return run.groupBy(*keys).agg(F.coalesce(F.sum(turn), F.lit(0)).cast("bigint").alias("busy"))
+
+
+def run_summary(output: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Report rows of a run: one per file, one of totals, and one per file which could not be used.
+
+    ``output`` holds ``input_file, scrape_status`` and, for the times, ``started_at, finished_at`` of its
+    rows; ``failures`` holds ``input_file, message`` (see :func:`sitewise.sources.tables.read_site_files`).
+    ``duration_sec`` runs from the first start to the last end, ``busy_sec`` leaves out the time in which
+    nothing ran; overlapping rows count once. A file is completed when none of its rows is pending; rows
+    without a file are a group which is no file.
 
     Flat rows rather than one nested document, so that the number of input files is
     not bounded by what fits in a row; :func:`sitewise.sources.sinks.write_summary`
     writes them as JSON lines.
     """
     kind = F.when(F.col("is_total"), "totals").otherwise("file")
-    return status_rollup(output).select(
-        kind.alias("kind"), "input_file",
-        "rows_total", "rows_done", "rows_error", "rows_skipped", "rows_pending",
+    counts = ["rows_total", "rows_done", "rows_error", "rows_skipped", "rows_pending"]
+    rolled = status_rollup(output)
+    if {"started_at", "finished_at"} <= set(output.columns):
+        each = output.select("started_at", "finished_at", F.explode(F.array(
+            F.struct(F.lit(False).alias("is_total"), "input_file"), F.struct(F.lit(True).alias("is_total"), F.lit(None).cast("string").alias("input_file")),
+        )).alias("k")).select("started_at", "finished_at", "k.is_total", "k.input_file")
+        ends = each.groupBy("is_total", "input_file").agg(F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"))
+        times = _same_file(ends, busy_time(each, ["is_total", "input_file"]), "left").withColumns({
+            "duration_sec": seconds_between(F.col("started_at"), F.col("finished_at")),
+            "busy_sec": F.round(F.coalesce("busy", F.lit(0)) / 1_000_000, 3),
+        }).drop("busy")
+        rolled = _same_file(rolled, times, "left")
+    else:
+        rolled = rolled.withColumns({
+            "started_at": F.lit(None).cast("timestamp"), "finished_at": F.lit(None).cast("timestamp"),
+            "duration_sec": F.lit(None).cast("double"), "busy_sec": F.lit(None).cast("double"),
+        })
+    if failures is None:
+        failures = output.sparkSession.createDataFrame([], "input_file string, message string")
+    file = ~F.col("is_total") & F.col("input_file").isNotNull()
+    one, none = F.lit(1), F.lit(0)
+    marks = rolled.select(
+        F.when(file, one).otherwise(none).alias("total"), F.when(file & (F.col("rows_pending") == 0), one).otherwise(none).alias("completed"),
+        none.alias("failed"),
+    ).unionByName(failures.select(one.alias("total"), none.alias("completed"), one.alias("failed")))
+    files = marks.agg(*(F.sum(c).alias(f"files_{c}") for c in marks.columns)).withColumn("is_total", F.lit(True))
+    told = rolled.join(F.broadcast(files), "is_total", "left").select(
+        kind.alias("kind"), "input_file", *counts, "started_at", "finished_at", "duration_sec", "busy_sec",
+        "files_total", "files_completed", "files_failed",
     )
+    bad = failures.select(F.lit("failure").alias("kind"), "input_file", "message")
+    return told.withColumn("message", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+
+
+def _same_file(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    renamed = right.withColumnsRenamed({"is_total": "_total", "input_file": "_file"})
+    on = (F.col("is_total") == F.col("_total")) & F.col("input_file").eqNullSafe(F.col("_file"))
+    return left.join(renamed, on, how).drop("_total", "_file")

@@ -105,7 +105,7 @@ def roll_up(
         F.min("method").alias("_method"),
         F.max("method").alias("_last_method"),
         F.min("fetched_at").alias("started_at"),
-        F.max("fetched_at").alias("finished_at"),
+        F.max("last_fetched_at" if "last_fetched_at" in pages.columns else "fetched_at").alias("finished_at"),
     ).withColumn("_failed", ~F.col("_home.has_html")).withColumn(
         "_combined", F.when(F.col("_failed"), F.lit("")).otherwise(combined(F.col("_pages")))
     )

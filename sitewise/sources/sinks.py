@@ -32,5 +32,7 @@ def write_checkpoint(output: DataFrame, path: str) -> None:
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    """Report rows as JSON lines."""
-    summary.write.mode("overwrite").json(path)
+    """Report rows as JSON lines; times with all their digits."""
+    summary.write.mode("overwrite").options(
+        timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    ).json(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitewise import schema as S
 from sitewise.functions.urls import stable_row_id
+from sitewise.sources.records import cells, csv_records, file_table
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"'}
 
@@ -16,20 +17,24 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"'}
 def read_site_list(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A site list in Parquet or CSV; raises unless it has a ``website`` column.
 
-    CSV values stay strings.  ``ord`` is the position in the file, from 0.  Lists with
-    no line ends inside values can turn ``multi_line`` off: one large CSV file is then
-    read by many tasks.
+    CSV values stay strings. ``ord`` is the position in the file, from 0. A large CSV file is read by
+    many tasks (see :mod:`sitewise.sources.records`); lists whose lines hold stray quotes and no line ends
+    inside values can turn ``multi_line`` off.
     """
     if path.lower().rstrip("/").endswith(".parquet"):
         sheet = spark.read.parquet(path)
+        if "ord" not in sheet.columns:
+            sheet = _with_ordinal(sheet.withColumns({
+                "_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"),
+            })).drop("_file", "_start")
     else:
-        sheet = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).csv(path)
+        names = spark.read.options(**CSV_OPTIONS).option("multiLine", multi_line).csv(path).columns
+        rows = csv_records(spark, path, multi_line=multi_line).where(F.col("ord") > 0)
+        rows = rows.select((F.col("ord") - 1).alias("_ord"), cells(F.col("record")).alias("_cells"))
+        sheet = rows.select(*(F.get("_cells", F.lit(i)).alias(n) for i, n in enumerate(names)), "_ord")
+        sheet = sheet.drop("_ord") if "ord" in names else sheet.withColumnRenamed("_ord", "ord")
     if "website" not in sheet.columns:
         raise ValueError(f"{path}: the site list needs a 'website' column")
-    if "ord" not in sheet.columns:
-        sheet = _with_ordinal(sheet.withColumns({
-            "_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"),
-        })).drop("_file", "_start")
     if "row_id" not in sheet.columns:
         sheet = sheet.withColumn("row_id", stable_row_id(F.col("website"), F.col("ord")))
     return sheet
@@ -56,42 +61,30 @@ def _with_ordinal(rows: DataFrame) -> DataFrame:
 
 
 def read_site_files(
-    spark: SparkSession, root: str, extension: str = ".csv", max_columns: int = 256,
-    multi_line: bool = True,
+    spark: SparkSession, root: str, extension: str = ".csv", multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """All site lists under a folder, and the files which could not be used.
 
     Files are chosen by extension at any depth, and each goes by its own header line: they
-    may differ in columns and in column order.  Result: ``input_file`` (the path below
-    ``root``), ``ord, website, row_id, attributes`` (a map of the other columns), and the
-    failures ``input_file, message``.  A bad file does not stop the others.  For
-    ``multi_line`` see :func:`read_site_list`.
+    may differ in columns and in column order, and have any number of them. Result: ``input_file`` (the
+    path below ``root``), ``ord, website, row_id, attributes`` (a map of the other columns), and the
+    failures ``input_file, message``. A bad file does not stop the others: what the folder lists and what
+    gave a header are compared, so an unreadable file is among the failures. An empty file counts as none. For ``multi_line``
+    see :func:`read_site_list`.
     """
-    columns = ", ".join(f"c{i} string" for i in range(max_columns + 1))
-    raw = spark.read.schema(columns).options(
-        header="false", multiLine=multi_line, escape='"',
-        recursiveFileLookup="true", pathGlobFilter="*" + _any_case(extension),
-    ).csv(root)
-    path = F.col("_metadata.file_path")
+    glob = "*" + _any_case(extension)
     folder = root.rstrip("/").split("://")[-1].lstrip("/")
-    rows = _with_ordinal(raw.select(
-        path.alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.substring_index(path, f"{folder}/", -1).alias("input_file"),
-        F.array(*raw.columns).alias("cells"),
-    )).drop("_start")
-    titles = F.transform("cells", lambda c: F.regexp_replace(c, "^\ufeff", ""))
-    headers = rows.where(F.col("ord") == 0).select("_file", "input_file", titles.alias("names"))
-    message = F.when(
-        F.get("names", F.lit(max_columns)).isNotNull(), f"more than {max_columns} columns"
+    below = F.substring_index("file", f"{folder}/", -1).alias("input_file")
+    rows = csv_records(spark, root, glob, multi_line).select("file", "ord", cells(F.col("record")).alias("cells"))
+    headers = rows.where(F.col("ord") == 0).select("file", F.col("cells").alias("names"))
+    listed = file_table(spark, root, glob).join(headers, "file", "left").withColumn("message", F.when(
+        F.col("names").isNull(), "the file could not be read"
     ).when(
-        ~F.coalesce(F.array_contains("names", "website"), F.lit(False)),
-        "the site list needs a 'website' column"
-    )
-    headers = headers.withColumn("message", message)
-    failures = headers.where(F.col("message").isNotNull()).select("input_file", "message")
-    usable = headers.where(F.col("message").isNull()).select("_file", "names")
-    body = rows.where(F.col("ord") > 0).join(usable, "_file")
+        ~F.coalesce(F.array_contains("names", "website"), F.lit(False)), "the site list needs a 'website' column"
+    ))
+    failures = listed.where(F.col("message").isNotNull()).select(below, "message")
+    usable = listed.where(F.col("message").isNull()).select("file", "names")
+    body = rows.where(F.col("ord") > 0).join(usable, "file")
     # A name counts once, where it first stands.
     named = F.filter(
         F.arrays_zip("names", "cells"),
@@ -99,7 +92,7 @@ def read_site_files(
         & (F.array_position("names", e.names) == (i + 1).cast("bigint")),
     )
     keyed = body.select(
-        "input_file", (F.col("ord") - 1).alias("ord"), F.map_from_entries(named).alias("_cells")
+        below, (F.col("ord") - 1).alias("ord"), F.map_from_entries(named).alias("_cells")
     ).withColumn("website", F.col("_cells")["website"])
     sheet = keyed.select(
         "input_file", "ord", "website",

@@ -70,3 +70,39 @@ def test_failures(spark):
     got = {r.message: r.failures for r in reports.failure_sample(table, ["id"]).collect()}
     assert len(got) == 26 and got["... and 5 more"] == 5 and "m24" in got and "m25" not in got
     assert reports.failure_sample(table.where("id < 25"), ["id"]).count() == 25
+
+
+def test_busy_time_of_overlapping_spans(spark):
+    import datetime as dt
+
+    rng = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    data = [("hot" if i % 8 else None, rng.randint(0, 3000), rng.randint(-2, 9)) for i in range(900)] + [("gap", 0, 1), ("gap", 1, 2), ("gap", 10, 5), ("none", 4, 0)]
+    rows = [(k, start + dt.timedelta(seconds=a), start + dt.timedelta(seconds=a + n)) for k, a, n in data] + [("hot", None, start)]
+    spans = spark.createDataFrame(rows, "f string, started_at timestamp, finished_at timestamp")
+    want = {}
+    for k, a, n in data:
+        want.setdefault(k, set()).update(range(a, a + max(0, n)))
+    for size in (100, 10_000):
+        got = {r.f: r.busy for r in reports.busy_time(spans, ["f"], rows_per_part=size).collect()}
+        assert got == {k: 1_000_000 * len(v) for k, v in want.items() if v}
+
+
+def test_run_report(spark):
+    import datetime as dt
+
+    def at(n):
+        return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n)
+
+    data = [("f", "done", at(0), at(10)), ("f", "error", at(5), at(20)), ("g", "done", at(100), at(101)), ("g", None, None, None), (None, "done", at(15), at(30))]
+    output = spark.createDataFrame(data, "input_file string, scrape_status string, started_at timestamp, finished_at timestamp")
+    failures = spark.createDataFrame([("bad.csv", "no website column"), ("worse.csv", None)], "input_file string, message string")
+    got = reports.run_summary(output, failures).collect()
+    files = {r.input_file: (r.rows_total, r.rows_pending, r.duration_sec, r.busy_sec) for r in got if r.kind == "file"}
+    assert files == {"f": (2, 0, 20.0, 20.0), "g": (2, 1, 1.0, 1.0), None: (1, 0, 15.0, 15.0)}
+    total, = (r for r in got if r.kind == "totals")
+    assert (total.rows_total, total.duration_sec, total.busy_sec) == (5, 101.0, 31.0)
+    assert (total.files_total, total.files_completed, total.files_failed) == (4, 1, 2)
+    assert sorted(r.input_file for r in got if r.kind == "failure") == ["bad.csv", "worse.csv"]
+    empty = reports.run_summary(output.limit(0)).collect()
+    assert [(r.kind, r.rows_total, r.files_total) for r in empty] in ([], [("totals", 0, 0)])
