@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -79,6 +80,8 @@ def whiten(
 
     indexed = rows.select("index", array_to_vector(exact("x")["centred"]).alias("vector"))
     blocks = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(indexed, "vector"), n, dim).toBlockMatrix(rows_per_block, dim)
+    # Read by both products and their plans; a block which is lost is dealt again from the stored rows.
+    blocks.persist(StorageLevel.MEMORY_AND_DISK)
     covariance = scatter(blocks) / n
     values, axes = np.linalg.eigh((covariance + covariance.T) / 2)
     order = np.argsort(-values, kind="stable")[:components]
@@ -87,6 +90,7 @@ def whiten(
     projection = axes * np.where(there, 1 / np.sqrt(np.where(there, top, 1)), 0)
 
     whitened = stored(projected(blocks, projection), "whitening-rows")
+    blocks._java_matrix_wrapper._java_model.blocks().unpersist(False)
     error = _identity_error(whitened, n, np.flatnonzero(there))
     explained = [float(v / trace) if ok else 0.0 for v, ok in zip(top, there)]
     both = rows.withColumn("deviation", exact("x")["deviation"].try_cast("decimal(38,0)")).join(whitened, "index")
