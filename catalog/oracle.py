@@ -65,19 +65,43 @@ def decluttered(markup: str) -> str:
     return f"list_reduce([{markup}] || {short}, lambda a, b: replace(a, b, chr(1)))"
 
 
+BLOCK = "p|div|section|article|main|aside|header|footer|nav|form|ul|ol|dl|table|blockquote|pre|figure|h[1-6]|hr|body|html"
+
+
 def paragraphs(markup: str) -> str:
-    block = "p|div|section|article|main|aside|header|footer|nav|form|ul|ol|dl|table|blockquote|pre|figure|h[1-6]|hr|body|html"
-    cut = f"regexp_replace(x, '(?is)</?(?:{block})[\\s/>].*$', '')"
+    cut = f"regexp_replace(x, '(?is)</?(?:{BLOCK})[\\s/>].*$', '')"
     each = f"list_transform(string_split_regex({markup}, '(?i)<p>')[2:], lambda x: {lines(cut)})"
     return f"array_to_string(list_filter({each}, lambda t: t <> ''), chr(10))"
 
 
+def densest(markup: str) -> str:
+    """The largest difference of prefix sums, a later and the least before it; lists of one stand for names."""
+    cut = f"regexp_replace({markup}, '(?i)(</?(?:{BLOCK})[\\s/>])', chr(2) || '\\1', 'g')"
+    links = "array_to_string(regexp_extract_all(x, '(?is)<a\\s[^>]*>(.*?)</a\\s*>', 1), ' ')"
+    blocks = (
+        f"list_filter(list_transform(string_split({cut}, chr(2)), lambda x: {{'t': {lines('x')}, 'l': length({lines(links)})}}), "
+        "lambda b: b.t <> '')"
+    )
+    sums = (
+        f"list_transform(range(0, len(b) + 1), lambda k: coalesce(list_sum(list_transform(b[1:k], "
+        f"lambda x: length(x.t) - {K.LINK_WEIGHT} * x.l - {K.BLOCK_TOLL})), 0))"
+    )
+    gains = "list_transform(range(1, len(b) + 1), lambda j: s[j + 1] - list_min(s[1:j]))"
+    start = "list_max(list_filter(range(1, e + 1), lambda k: s[k] = list_min(s[1:e])))"
+    chosen = f"array_to_string(list_transform(b[{start}:e], lambda x: x.t), chr(10))"
+    ends = f"list_transform([{gains}], lambda g: list_transform([list_position(g, list_max(g))], lambda e: {chosen})[1])[1]"
+    return (
+        f"list_transform([{blocks}], lambda b: CASE WHEN len(b) = 0 THEN '' ELSE "
+        f"list_transform([{sums}], lambda s: {ends})[1] END)[1]"
+    )
+
+
 def main_text(markup: str, minimum: int) -> str:
     region = lines(f"regexp_extract({markup}, '(?is)<article>(.*)</article>', 1)")
-    paras = paragraphs(markup)
+    dense = densest(markup)
     return (
         f"CASE WHEN length({region}) > {minimum} THEN {region} "
-        f"WHEN length({paras}) > {minimum} THEN {paras} ELSE {lines(markup)} END"
+        f"WHEN length({dense}) > {minimum} THEN {dense} ELSE {lines(markup)} END"
     )
 
 
@@ -406,6 +430,12 @@ ORACLE = {
         WITH r AS (SELECT page_id, {reduced('html')} AS m FROM pages),
         s AS (SELECT page_id, {decluttered('m')} AS m FROM r)
         SELECT page_id, {main_text('m', 200)} AS main_text, {paragraphs('m')} AS paragraph_text FROM s""",
+    "page_densest_block": f"""
+        WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)</?(?:article|nav)>', '<div>', 'g'),
+            '<li><a href="([^"]*)">([^<]*)</a></li>', '<p><a href="\\1">All about \\2 and \\2</a></p>', 'g') AS html FROM pages),
+        r AS (SELECT page_id, {reduced('html')} AS m FROM h),
+        s AS (SELECT page_id, {decluttered('m')} AS m FROM r)
+        SELECT page_id, {densest('m')} AS text FROM s""",
     "page_metadata": f"""WITH {FETCHES}, {HEAD}
         SELECT page_id, title, '' AS meta_description, headings FROM head""",
     "page_description": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'd & ' || page_id
@@ -462,13 +492,28 @@ ORACLE = {
           visited_urls, main_text_len, pages_planned FROM results""",
     "site_text": f"""WITH {FETCHES}, {RECORDS}
         SELECT row_id, left(chr(10) || chr(10) || string_agg('URL: ' || url || chr(10) || main_text,
-          chr(10) || chr(10) || '{RULE}' || chr(10) || chr(10) ORDER BY pos), 250000) AS combined_text
+          chr(10) || chr(10) || '{RULE}' || chr(10) || chr(10) ORDER BY pos), 250000) AS combined_text,
+          (sum(length('URL: ' || url || chr(10) || main_text)) + 84 * (count(*) - 1) + 2)::BIGINT AS n_chars, n_chars > 250000 AS truncated
         FROM records WHERE ok GROUP BY row_id""",
+    "site_text_chunks": f"""WITH {FETCHES}, {RECORDS},
+        texts AS (
+          SELECT row_id, chr(10) || chr(10) || string_agg('URL: ' || url || chr(10) || main_text,
+            chr(10) || chr(10) || '{RULE}' || chr(10) || chr(10) ORDER BY pos) AS t FROM records WHERE ok GROUP BY row_id)
+        SELECT row_id, chunk, substring(t, chunk * 2000 + 1, 2000) AS text
+        FROM texts, unnest(range(0, (length(t) + 1999) // 2000)) u(chunk)""",
+    "conversation_text_chunks": f"""WITH texts AS (
+          SELECT conv_id, chr(10) || chr(10) || string_agg('URL: ' || role || chr(10) || text,
+            chr(10) || chr(10) || '{RULE}' || chr(10) || chr(10) ORDER BY turn) AS t
+          FROM conversations WHERE text <> '' GROUP BY conv_id)
+        SELECT conv_id, chunk, substring(t, chunk * 500 + 1, 500) AS text
+        FROM texts, unnest(range(0, (length(t) + 499) // 500)) u(chunk)""",
     "conversation_text": f"""
         SELECT conv_id, left(coalesce(chr(10) || chr(10) || string_agg(
           'URL: ' || role || chr(10) || text,
           chr(10) || chr(10) || '{RULE}' || chr(10) || chr(10) ORDER BY turn) FILTER (text <> ''), ''), 250000)
-          AS combined_text
+          AS combined_text,
+          coalesce(2 + sum(length('URL: ' || role || chr(10) || text) + 84) FILTER (text <> '') - 84, 0)::BIGINT AS n_chars,
+          n_chars > 250000 AS truncated
         FROM conversations GROUP BY conv_id""",
     "site_output": f"""{SITE_JOB}, {SITES}
         SELECT CASE WHEN ord % 13 <> 5 THEN website END AS website, ord, row_id,

@@ -181,6 +181,15 @@ def page_main_text(spark, d):
     )
 
 
+@query
+def page_densest_block(spark, d):
+    """Pages without a marked article, their menus as paragraphs of links."""
+    html = F.regexp_replace(F.col("html"), "(?i)</?(?:article|nav)>", "<div>")
+    menu = F.regexp_replace(html, r'<li><a href="([^"]*)">([^<]*)</a></li>', '<p><a href="$1">All about $2 and $2</a></p>')
+    markup = H.declutter(H.reduce_html(menu))
+    return I.pages(spark, d).select("page_id", H.densest_block(markup).alias("text"))
+
+
 @query
 def page_metadata(spark, d):
     return pages.page_content(I.site_fetches(spark, d)).select(
@@ -306,7 +315,7 @@ def site_rollup(spark, d):
 def site_text(spark, d):
     records = page_records(I.site_fetches(spark, d))
     combined = sites.combine_texts(records.where("ok"), "row_id", "pos", "url", "main_text")
-    return combined.select("row_id", "combined_text")
+    return combined.select("row_id", "combined_text", "n_chars", "truncated")
 
 
 @query
@@ -314,7 +323,19 @@ def conversation_text(spark, d):
     """Ordered combine of conversations; the speaker stands for the URL."""
     return sites.combine_texts(
         I.table(spark, d, "conversations"), "conv_id", "turn", "role", "text"
-    ).select("conv_id", "combined_text")
+    ).select("conv_id", "combined_text", "n_chars", "truncated")
+
+
+@query
+def site_text_chunks(spark, d):
+    """The whole text of each site in pieces."""
+    records = page_records(I.site_fetches(spark, d)).where("ok")
+    return sites.combine_chunks(records, "row_id", ["pos"], "url", "main_text", 2_000)
+
+
+@query
+def conversation_text_chunks(spark, d):
+    return sites.combine_chunks(I.table(spark, d, "conversations"), "conv_id", ["turn"], "role", "text", 500)
 
 
 def _site_output(spark, d):

@@ -83,6 +83,10 @@ DEFAULT_SUFFIXES = (
     + tuple(f"{second}.{country}" for second, country in product(_SECOND_LEVEL, _WITH_SECOND_LEVEL))
 )
 
+# What a character in a link takes from a block's weight, and what every block pays.
+LINK_WEIGHT = 3
+BLOCK_TOLL = 20
+
 # Above this many rules a suffix list is joined as a table, not inlined.
 MAX_INLINE_SUFFIXES = 20_000
 

@@ -242,11 +242,54 @@ def paragraph_text(decluttered: Column) -> Column:
     return F.array_join(texts, "\n")
 
 
+def densest_block(decluttered: Column) -> Column:
+    """Text of the run of blocks with the most prose in it.
+
+    The page is cut at block tags. A block weighs its characters, less three for each which is in a link
+    and less a fixed toll, so prose counts for and menus and scraps against; the run of blocks with the
+    largest sum of weights wins, the first of equals, found in one fold over the blocks. A run begins
+    anew where the sum before it is not above 0.
+    """
+    def described(piece: Column) -> Column:
+        anchors = F.regexp_extract_all(piece, F.lit(r"(?is)<a\s[^>]*+>(.*?)</a\s*>"), F.lit(1))
+        linked = F.when(F.size(anchors) > 0, F.length(text_lines(F.array_join(anchors, " ")))).otherwise(0)
+        return let(text_lines(piece), lambda t: F.struct(
+            t.alias("text"), (F.length(t) - K.LINK_WEIGHT * linked - K.BLOCK_TOLL).cast("bigint").alias("weight")
+        ))
+
+    def step(s: Column, b: Column) -> Column:
+        fresh = s["sum"] <= 0
+        total = F.when(fresh, b["weight"]).otherwise(s["sum"] + b["weight"])
+        start = F.when(fresh, b["n"]).otherwise(s["start"])
+        return let(F.struct(total.alias("sum"), start.alias("start")), lambda run: let(
+            s["best"].isNull() | (run["sum"] > s["best"]), lambda better: F.struct(
+                run["sum"].alias("sum"), run["start"].alias("start"),
+                F.when(better, run["sum"]).otherwise(s["best"]).alias("best"),
+                F.when(better, run["start"]).otherwise(s["first"]).alias("first"),
+                F.when(better, b["n"]).otherwise(s["last"]).alias("last"),
+            )
+        ))
+
+    def chosen(blocks: Column) -> Column:
+        none = F.struct(
+            F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("start"), F.lit(None).cast("bigint").alias("best"),
+            F.lit(0).alias("first"), F.lit(-1).alias("last"),
+        )
+        return let(F.aggregate(blocks, none, step), lambda s: F.array_join(F.transform(
+            F.slice(blocks, s["first"] + 1, s["last"] - s["first"] + 1), lambda b: b["text"]
+        ), "\n"))
+
+    pieces = F.split(decluttered, rf"(?i)(?=</?(?:{_BLOCK})[\s/>])")
+    told = F.filter(F.transform(pieces, described), lambda b: b["text"] != "")
+    numbered = F.transform(told, lambda b, i: F.struct(b["text"].alias("text"), b["weight"].alias("weight"), i.alias("n")))
+    return let(numbered, chosen)
+
+
 def main_text(decluttered: Column, minimum: int = K.MIN_EXTRACT_CHARS) -> Column:
-    """First of region, paragraphs and whole page which is long enough."""
+    """First of region, densest run of blocks and whole page which is long enough."""
     return F.coalesce(
         let(region_text(decluttered), lambda t: F.when(F.length(t) > minimum, t)),
-        let(paragraph_text(decluttered), lambda t: F.when(F.length(t) > minimum, t)),
+        let(densest_block(decluttered), lambda t: F.when(F.length(t) > minimum, t)),
         text_lines(decluttered),
     )
 

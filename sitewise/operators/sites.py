@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sitewise import constants as K
 from sitewise.functions.text import let, seconds_between
 from sitewise.functions.urls import normalize_url, stable_row_id
+from sitewise.operators.prefix import ROWS_PER_PART, prefix_sums
 
 RULE = "-" * 80
 
@@ -74,6 +75,45 @@ def combine_texts(
     )
 
 
+def combine_chunks(
+    pages: DataFrame, key: str, order: list[str], url: str, text: str, chunk_chars: int = 64_000,
+    rows_per_part: int = ROWS_PER_PART,
+) -> DataFrame:
+    """The whole combined text per key, uncut, as rows (key, ``chunk``, ``text``) of ``chunk_chars``
+    characters; joined in order they are what :func:`combine_texts` cuts.
+
+    No group meets in one row or task: running sums of the parts' lengths say where each part begins, so
+    every part is cut into its chunks by itself, and a chunk gathers only what lies within it. ``order``
+    should be unique within a key. Empty texts and parts without a URL are in no chunk; a key without any
+    part has none.
+    """
+    between = len(RULE) + 4
+    parts = pages.select(
+        key, *order, F.concat(F.lit("URL: "), F.col(url), F.lit("\n"), F.col(text)).alias("_body"), F.col(text).alias("_text")
+    ).where(F.col("_body").isNotNull() & (F.col("_text") != "")).drop("_text")
+    size = F.length("_body") + between
+    placed = prefix_sums(parts, [key], order, {"_end": size}, rows_per_part=rows_per_part).withColumn("_at", F.col("_end") - size)
+    # The rule stands ahead of every part but the first, which has two line ends.
+    first = F.col("_at") == 0
+    placed = placed.select(
+        F.col(key), F.when(first, F.concat(F.lit("\n\n"), "_body")).otherwise(F.concat(F.lit(f"\n\n{RULE}\n\n"), "_body")).alias("_part"),
+        F.when(first, F.lit(0)).otherwise(F.col("_at") - (between - 2)).cast("bigint").alias("_at"),
+    )
+    last = F.floor((F.col("_at") + F.length("_part") - 1) / chunk_chars)
+    pieces = placed.select(
+        key, "_at", "_part", F.explode(F.sequence(F.floor(F.col("_at") / chunk_chars), last)).alias("chunk")
+    )
+    start = F.greatest(F.col("_at"), F.col("chunk") * chunk_chars)
+    stop = F.least(F.col("_at") + F.length("_part"), (F.col("chunk") + 1) * chunk_chars)
+    cut = pieces.select(
+        key, "chunk", start.alias("_at"), F.substring("_part", (start - F.col("_at") + 1).cast("int"), (stop - start).cast("int")).alias("_piece")
+    )
+    gathered = F.array_sort(F.collect_list(F.struct("_at", "_piece")))
+    return cut.groupBy(key, "chunk").agg(gathered.alias("_pieces")).select(
+        key, "chunk", F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "").alias("text")
+    )
+
+
 def roll_up(
     pages: DataFrame,
     max_pages: int = K.MAX_PAGES,
