@@ -74,12 +74,12 @@ def paragraphs(markup: str) -> str:
     return f"array_to_string(list_filter({each}, lambda t: t <> ''), chr(10))"
 
 
-def densest(markup: str) -> str:
+def densest(markup: str, part: str = "t", between: str = "chr(10)") -> str:
     """The largest difference of prefix sums, a later and the least before it; lists of one stand for names."""
     cut = f"regexp_replace({markup}, '(?i)(</?(?:{BLOCK})[\\s/>])', chr(2) || '\\1', 'g')"
     links = "array_to_string(regexp_extract_all(x, '(?is)<a\\s[^>]*>(.*?)</a\\s*>', 1), ' ')"
     blocks = (
-        f"list_filter(list_transform(string_split({cut}, chr(2)), lambda x: {{'t': {lines('x')}, 'l': length({lines(links)})}}), "
+        f"list_filter(list_transform(string_split({cut}, chr(2)), lambda x: {{'m': x, 't': {lines('x')}, 'l': length({lines(links)})}}), "
         "lambda b: b.t <> '')"
     )
     sums = (
@@ -88,7 +88,7 @@ def densest(markup: str) -> str:
     )
     gains = "list_transform(range(1, len(b) + 1), lambda j: s[j + 1] - list_min(s[1:j]))"
     start = "list_max(list_filter(range(1, e + 1), lambda k: s[k] = list_min(s[1:e])))"
-    chosen = f"array_to_string(list_transform(b[{start}:e], lambda x: x.t), chr(10))"
+    chosen = f"array_to_string(list_transform(b[{start}:e], lambda x: x.{part}), {between})"
     ends = f"list_transform([{gains}], lambda g: list_transform([list_position(g, list_max(g))], lambda e: {chosen})[1])[1]"
     return (
         f"list_transform([{blocks}], lambda b: CASE WHEN len(b) = 0 THEN '' ELSE "
@@ -98,11 +98,13 @@ def densest(markup: str) -> str:
 
 def main_text(markup: str, minimum: int) -> str:
     region = lines(f"regexp_extract({markup}, '(?is)<article>(.*)</article>', 1)")
-    dense = densest(markup)
-    return (
-        f"CASE WHEN length({region}) > {minimum} THEN {region} "
-        f"WHEN length({dense}) > {minimum} THEN {dense} ELSE {lines(markup)} END"
+    # A list of one stands for a name, so that the scan is written once.
+    found = (
+        f"list_transform([{{'p': {densest(markup, 'm', chr(39) * 2)}, 't': {densest(markup)}}}], lambda d: "
+        f"list_transform([{paragraphs('d.p')}], lambda p: CASE WHEN length(p) > {minimum} THEN p "
+        f"WHEN length(d.t) > {minimum} THEN d.t END)[1])[1]"
     )
+    return f"CASE WHEN length({region}) > {minimum} THEN {region} ELSE coalesce({found}, {lines(markup)}) END"
 
 
 def normal(u: str) -> str:

@@ -243,7 +243,12 @@ def paragraph_text(decluttered: Column) -> Column:
 
 
 def densest_block(decluttered: Column) -> Column:
-    """Text of the run of blocks with the most prose in it.
+    """Text of the run of blocks with the most prose in it, see :func:`densest_run`."""
+    return densest_run(decluttered)["text"]
+
+
+def densest_run(decluttered: Column) -> Column:
+    """The run of blocks with the most prose in it, as a struct of its ``text`` and ``markup``.
 
     The page is cut at block tags. A block weighs its characters, less three for each which is in a link
     and less a fixed toll, so prose counts for and menus and scraps against; the run of blocks with the
@@ -254,7 +259,7 @@ def densest_block(decluttered: Column) -> Column:
         anchors = F.regexp_extract_all(piece, F.lit(r"(?is)<a\s[^>]*+>(.*?)</a\s*>"), F.lit(1))
         linked = F.when(F.size(anchors) > 0, F.length(text_lines(F.array_join(anchors, " ")))).otherwise(0)
         return let(text_lines(piece), lambda t: F.struct(
-            t.alias("text"), (F.length(t) - K.LINK_WEIGHT * linked - K.BLOCK_TOLL).cast("bigint").alias("weight")
+            t.alias("text"), (F.length(t) - K.LINK_WEIGHT * linked - K.BLOCK_TOLL).cast("bigint").alias("weight"), piece.alias("markup")
         ))
 
     def step(s: Column, b: Column) -> Column:
@@ -275,21 +280,26 @@ def densest_block(decluttered: Column) -> Column:
             F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("start"), F.lit(None).cast("bigint").alias("best"),
             F.lit(0).alias("first"), F.lit(-1).alias("last"),
         )
-        return let(F.aggregate(blocks, none, step), lambda s: F.array_join(F.transform(
-            F.slice(blocks, s["first"] + 1, s["last"] - s["first"] + 1), lambda b: b["text"]
-        ), "\n"))
+        run = let(F.aggregate(blocks, none, step), lambda s: F.slice(blocks, s["first"] + 1, s["last"] - s["first"] + 1))
+        return let(run, lambda r: F.struct(
+            F.array_join(F.transform(r, lambda b: b["text"]), "\n").alias("text"),
+            F.array_join(F.transform(r, lambda b: b["markup"]), "").alias("markup"),
+        ))
 
     pieces = F.split(decluttered, rf"(?i)(?=</?(?:{_BLOCK})[\s/>])")
     told = F.filter(F.transform(pieces, described), lambda b: b["text"] != "")
-    numbered = F.transform(told, lambda b, i: F.struct(b["text"].alias("text"), b["weight"].alias("weight"), i.alias("n")))
+    numbered = F.transform(told, lambda b, i: F.struct(b["text"].alias("text"), b["weight"].alias("weight"), b["markup"].alias("markup"), i.alias("n")))
     return let(numbered, chosen)
 
 
 def main_text(decluttered: Column, minimum: int = K.MIN_EXTRACT_CHARS) -> Column:
-    """First of region, densest run of blocks and whole page which is long enough."""
+    """First of region, paragraphs of the densest run, that run and the whole page which is long enough."""
+    def long_enough(text: Column) -> Column:
+        return let(text, lambda t: F.when(F.length(t) > minimum, t))
+
     return F.coalesce(
-        let(region_text(decluttered), lambda t: F.when(F.length(t) > minimum, t)),
-        let(densest_block(decluttered), lambda t: F.when(F.length(t) > minimum, t)),
+        long_enough(region_text(decluttered)),
+        let(densest_run(decluttered), lambda run: F.coalesce(long_enough(paragraph_text(run["markup"])), long_enough(run["text"]))),
         text_lines(decluttered),
     )
 
