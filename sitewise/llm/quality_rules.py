@@ -7,7 +7,8 @@ the base rules and its score is at least ``threshold``: the same text gets the s
 whatever the order or partitioning. Both multinomials are counted over all documents, with
 ``smoothing`` added to each bin. Built-in columns only.
 
-Shuffles: the labelled documents once, to meet their labels; counts per bin. The weights are
+Shuffles: the labelled documents once, to meet their labels (others are dropped by a Bloom filter of
+the ids where they are read, but for one in a hundred); counts per bin. The weights are
 ``buckets`` doubles, whatever the input; they reach the tasks as one scalar.
 
 Defined cases: null and empty texts have no words, fail the base rules and score 0; ids which
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.llm.common import WHITE, WORD_GAP, split_words
+from sitewise.operators.bloom import may_match
 from sitewise.sources.scratch import stored
 
 BUCKETS = 1 << 16
@@ -30,22 +32,34 @@ OUTPUTS = (
 )
 
 
-def _grams(words: Column, buckets: int) -> Column:
-    """Bins of all words and of all pairs of neighbours."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.flatten(F.transform(
-        F.arrays_zip(hashes.alias("a"), F.slice(hashes, 2, F.greatest(F.size(words) - 1, F.lit(1))).alias("b")),
-        lambda p: F.when(
-            p["b"].isNull(), F.array(F.pmod(p["a"], F.lit(buckets)))
-        ).otherwise(F.array(F.pmod(p["a"], F.lit(buckets)), F.pmod(F.xxhash64(p["a"], p["b"]), F.lit(buckets)))),
-    ))
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column which is worked out once, however often it is used: it takes the way through a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _hashed(df: DataFrame, words: str = "w") -> DataFrame:
+    """Add ``h``, the hashes of the words, and ``pairs``, those of each two neighbours."""
+    out = _held(df, "h", F.transform(words, lambda w: F.xxhash64(w)))
+    return _held(out, "pairs", _joined_next("h", "h"))
+
+
+def _joined_next(left: str, hashes: str, ahead: int = 1) -> Column:
+    """Hash of each element of ``left`` with the word hash ``ahead`` places on; as many as there are such."""
+    n = F.greatest(F.size(hashes) - ahead, F.lit(0))
+    return F.zip_with(F.slice(left, F.lit(1), n), F.slice(hashes, F.lit(ahead + 1), n), lambda a, b: F.xxhash64(a, b))
+
+
+def _bin(value: Column, buckets: int) -> Column:
+    """Hash to bin; for a power of two the last bits, which is the same and cheaper."""
+    return value.bitwiseAND(F.lit(buckets - 1)) if buckets & (buckets - 1) == 0 else F.pmod(value, F.lit(buckets))
 
 
 def gram_counts(docs: DataFrame, buckets: int = BUCKETS, text: str = "text") -> DataFrame:
     """(bin, n): n-grams of each bin over all documents."""
-    words = docs.select(F.explode(F.array(split_words(F.coalesce(text, F.lit("")), WORD_GAP))).alias("w"))
-    hashes = words.where(F.size("w") > 0).select(F.explode(F.array(_grams(F.col("w"), buckets))).alias("g"))
-    return hashes.select(F.explode("g").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    words = _held(docs.select(F.col(text).alias("t")), "w", split_words(F.coalesce("t", F.lit("")), WORD_GAP))
+    hashed = _hashed(words.where(F.size("w") > 0).select("w"))
+    grams = hashed.select(F.explode(F.concat("h", "pairs")).alias("g"))
+    return grams.select(_bin(F.col("g"), buckets).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
 def bin_weights(target: DataFrame, corpus: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
@@ -81,8 +95,11 @@ def judge_quality(
     """
     ids = trusted.select(F.col(doc_id).alias("trusted_id")).where("trusted_id is not null").distinct()
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    # Merged at every size: a list of ids grows with the corpus and is never broadcast.
-    target = texts.join(ids.hint("merge"), F.col("id") == F.col("trusted_id"), "left_semi")
+    # A Bloom filter of the ids drops most other texts where they are read; the join is merged at every
+    # size, as a list of ids grows with the corpus.
+    ids = stored(ids, "trusted-ids")
+    near = may_match(texts, ids.withColumnRenamed("trusted_id", "id"), ["id"])
+    target = near.join(ids.hint("merge"), F.col("id") == F.col("trusted_id"), "left_semi")
     weights = stored(
         bin_weights(gram_counts(target, buckets), gram_counts(texts, buckets), buckets, smoothing), "gram-weights"
     )
@@ -93,17 +110,16 @@ def judge_quality(
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
     w = w.select("*", F.explode(F.array(lines)).alias("lines"))
 
-    # Windows of three words found twice. Each is one long: its hash above, its place in the
-    # last 28 bits (more than the words of the longest string); sorted, equal hashes are
-    # neighbours. These candidates are then compared by the words themselves.
+    # Windows of three words found twice. Few texts have two windows of one hash; in these each window is
+    # one long: its hash above, its place in the last 28 bits (more than the words of the longest string);
+    # sorted, equal hashes are neighbours. These candidates are then compared by the words themselves.
     place = 28
-    hashes = F.transform("w", lambda x: F.xxhash64(x))
-    w = w.select("*", F.explode(F.array(hashes)).alias("h"))
-    coded = F.when(F.col("n") >= 3, F.transform(
-        F.sequence(F.lit(0), F.greatest(F.col("n") - 3, F.lit(0))),
-        lambda i: F.shiftleft(F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2)), place).bitwiseOR(i.cast("long")),
-    )).otherwise(F.array().cast("array<long>"))
-    w = w.select("*", F.explode(F.array(F.sort_array(coded))).alias("codes")).drop("h")
+    w = _held(_hashed(w), "windows", _joined_next("pairs", "h", 2))
+    coded = F.when(
+        F.size(F.array_distinct("windows")) < F.size("windows"),
+        F.transform("windows", lambda x, i: F.shiftleft(x, place).bitwiseOR(i.cast("long"))),
+    ).otherwise(F.array().cast("array<long>"))
+    w = _held(w, "codes", F.sort_array(coded)).drop("windows")
     top = lambda c: F.shiftright(c, place)
     mask = (1 << place) - 1
     near = F.filter("codes", lambda c, i: (
@@ -128,11 +144,11 @@ def judge_quality(
 
     # ``buckets`` whole numbers, as one constant of the plan.
     weight = F.split(F.lit(",".join(map(str, weights.first()["weights"]))), ",").cast("array<int>")
-    grams = _grams(F.col("w"), buckets)
-    total = F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc + F.get(weight, g.cast("int")).cast("long"))
+    added = lambda acc, g: acc + F.get(weight, _bin(g, buckets).cast("int"))
+    total = F.aggregate("pairs", F.aggregate("h", F.lit(0).cast("long"), added), added)
     w = w.select(
-        "row", "n", F.length(F.translate("t", WHITE, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        "row", "n", F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("t", f"[^{SYMBOLS}]++", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.when(F.col("n") > 0, total / 1000 / (2 * F.col("n") - 1)).otherwise(0.0).alias("raw"),
