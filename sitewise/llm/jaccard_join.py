@@ -4,19 +4,20 @@ Method: documents with equal sets are one class. Classes whose sets are similar
 PartEnum signature (``signatures.PartEnum``); every pair which shares one is tested exactly.
 
 Two exact tests come first, as signatures alone are shared by unrelated documents with a common
-passage. Shingles have one global order: by hash, frequent ones last (those found often in a
-sample; the order only affects cost). Similar sets share one of their first
-n - ceil(0.75 n) + 1 shingles. So classes none of whose first shingles are in another class have no
+passage. Shingles have one global order: by the number of times they are found (see
+:mod:`sitewise.llm.shared_shingles`), those found often in a sample last. Similar sets share one of their
+first n - ceil(0.75 n) + 1 shingles. So classes none of whose first shingles are in another class have no
 partner, and the others fall into blocks (connected by common first shingles) which no link crosses. Only
-classes in blocks get signatures, and a signature counts inside its block.
+classes in blocks get signatures, and a signature counts inside its block. The order only affects cost: any
+order gives blocks which no link crosses, rarest first gives the smallest.
 
 In blocks of at most ``small_block`` classes, by far the most, the buckets are formed inside the
 task which has the block. In larger ones signatures are shuffled: in each bucket all members are paired with the smallest only; then, after linking, the
 buckets in which two components are left give the pairs between these. So large groups of near
 copies cost a star, not all their pairs, and no link between components is lost.
 
-Shuffles: first shingles (a quarter of all); texts once, to meet the classes in blocks; signatures
-of these. Nothing is broadcast but the frequent shingles, ``frequent`` at most.
+Shuffles: all shingles once, packed (some 7 bytes each), those found twice once more; texts once, to meet
+the classes in blocks; signatures of these. Nothing is broadcast but the frequent shingles, 100,000 at most.
 
 Defined cases: null and empty texts have empty sets, linked with nothing (their component is the
 own id); fewer words than a shingle are one shingle; repeated rows are in the same class; rows with
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from sitewise.llm.common import row_key
 from sitewise.llm.components import components
+from sitewise.llm.shared_shingles import REF_BITS, first_shingles, short_hashes
 from sitewise.llm.signatures import PartEnum, set_hash, shingle_sets, similar
 from sitewise.sources.scratch import stored
 
@@ -60,14 +62,16 @@ def frequent_shingles(docs: DataFrame, size: int, text: str, every: int = 16, le
     return np.sort(np.array([r.s for r in rows], np.int64).view(np.uint64))
 
 
-def _first(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
-    n = len(s)
-    keep = n - -(-percent * n // 100) + 1
-    if len(often):
-        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-        common = often[at] == s
-        s = np.concatenate([s[~common], s[common]])
-    return s[:keep]
+def _common(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Which shingles are among the frequent ones."""
+    if not len(often):
+        return np.zeros(len(s), bool)
+    return often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+
+
+def _prefix(n: int, percent: int) -> int:
+    """So many first shingles of a set of n; similar sets share one of them."""
+    return n - -(-percent * n // 100) + 1 if n else 0
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -127,23 +131,22 @@ def jaccard_classes(
     often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size, text))
 
     def describe(batches):
-        seen: set[tuple[int, int]] = set()  # a copy's first shingles are given once a task
         for part, texts in _chunks(batches, "t"):
             sets = shingle_sets(texts, size)
             names = [set_hash(s) for s in sets]
-            first = []
-            for s, name in zip(sets, names, strict=True):
-                new = name not in seen
-                seen.add(name)
-                first.append(_first(s, often.value, percent).view(np.int64) if new and len(s) else None)
+            common = [_common(s, often.value) for s in sets]
             yield pd.DataFrame({
                 "k1": part["k1"], "k2": part["k2"], "id": part["id"], "n": [len(s) for s in sets],
-                "s1": [x for x, _ in names], "s2": [y for _, y in names], "first": first,
+                "s1": [x for x, _ in names], "s2": [y for _, y in names],
+                # Shingles which fall together with another when cut short count as frequent.
+                "often": [len(s) - short_hashes(s[~c]) for s, c in zip(sets, common)],
+                # In the first shingles only of sets which have few others.
+                "tail": [s[c][:max(_prefix(len(s), percent) - int((~c).sum()), 0)].view(np.int64) for s, c in zip(sets, common)],
             })
 
     kind = docs.schema[doc_id].dataType.simpleString()
     keyed = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(doc_id).cast("string").alias("id"), F.col(text).alias("t"))
-    schema = "k1 long, k2 long, id string, n long, s1 long, s2 long, first array<long>"
+    schema = "k1 long, k2 long, id string, n long, s1 long, s2 long, often long, tail array<long>"
     rows = stored(keyed.mapInPandas(describe, schema).withColumn("id", F.col("id").cast(kind)), "shingle-rows")
 
     # A class's number: 64 bits of its 128-bit name; another seed should two classes share one.
@@ -151,17 +154,28 @@ def jaccard_classes(
     for seed in range(20):
         number = F.xxhash64(F.lit(seed), "s1", "s2")
         classes = stored(full.groupBy("s1", "s2").agg(
-            F.min("id").alias("low"), F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n")
+            F.min("id").alias("low"), F.min(F.struct("k1", "k2")).alias("k"), F.first("n").alias("n"),
+            F.first("often").alias("often"), F.first("tail").alias("tail"),
         ).withColumn("id", number), "shingle-classes")
         if classes.agg(F.count("*") == F.count_distinct("id")).first()[0]:
             break
     else:
         raise RuntimeError("no seed tells all classes apart")
 
-    # Blocks: classes connected by common first shingles.
-    first = full.where("first is not null").select(number.alias("id"), F.explode("first").alias("s"))
-    star = first.withColumn("a", F.min("id").over(Window.partitionBy("s"))).where("a <> id").select("a", F.col("id").alias("b"))
-    blocks = components(star).select("id", F.col("component").alias("block"))
+    # Blocks: classes connected by common first shingles, through the short names of their sets.
+    short = (F.col("s1").bitwiseAND((1 << REF_BITS) - 1)).alias("ref")
+    named = classes.select(short, "id", "n", "often")
+    first = first_shingles(keyed.select("t"), named, percent, size, often, _chunks, _common).unionByName(
+        classes.select(short, F.explode("tail").alias("s"))
+    )
+    first = stored(first, "first-shingles")
+    least = first.groupBy("s").agg(F.min("ref").alias("a"), F.max("ref").alias("z")).where("a <> z").drop("z")
+    star = first.join(least, "s").where("a <> ref").select("a", F.col("ref").alias("b"))
+    # Classes with one short name, if any, are in one block.
+    known = components(star).unionByName(named.groupBy("ref").agg(F.count("*").alias("c")).where("c > 1").select(
+        F.col("ref").alias("id"), F.col("ref").alias("component")
+    )).groupBy("id").agg(F.min("component").alias("block"))
+    blocks = named.join(known.withColumnRenamed("id", "ref"), "ref").select("id", "block")
     sizes = blocks.groupBy("block").agg((F.count("*") > small_block).alias("large"))
     wanted = stored(blocks.join(sizes, "block").join(classes.select("id", "k", "n"), "id").select(
         "id", "block", "large", "n", "k.k1", "k.k2"
@@ -212,7 +226,8 @@ def jaccard_classes(
     links = links.unionByName(stored(_verified(open_, sets.where("large"), percent), "links"))
 
     linked = components(links)
-    low = linked.join(classes.select("id", "low"), "id").withColumn("reach", F.min("low").over(Window.partitionBy("component")))
+    low = linked.join(classes.select("id", "low"), "id")
+    low = low.join(low.groupBy("component").agg(F.min("low").alias("reach")), "component")
     reach = classes.select("s1", "s2", "id", "low").join(low.select("id", "reach"), "id", "left").select(
         "s1", "s2", F.coalesce("reach", "low").alias("reach")
     )

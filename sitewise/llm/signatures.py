@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 
-from sitewise.llm.common import word_bytes
-
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -17,32 +18,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes hashed at once; a piece ends at a blank, so only a longer word makes it longer.
+PIECE = 1 << 20
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\x0b\x0c\r")] = True
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    inverse = pow(_BASE, -1, 1 << 64)
+    out = []
+    for base in (_BASE, inverse):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        with np.errstate(over="ignore"):
+            out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def _pieces(data: bytes):
+    at = 0
+    while at < len(data):
+        end = min(at + PIECE, len(data))
+        while end < len(data) and not _BLANK[data[end - 1]]:
+            found = re.compile(rb"[ \t\n\x0b\x0c\r]").search(data, end)
+            end = found.end() if found else len(data)
+        yield at, data[at:end]
+        at = end
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its hash: a polynomial in its bytes, from running sums over all bytes."""
+    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at, piece in _pieces(data):
+        raw = np.frombuffer(piece, np.uint8)
+        blank = _BLANK[raw]
+        edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
+        begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        up, down = _powers(PIECE) if len(raw) <= PIECE else _powers.__wrapped__(len(raw))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], dtype=np.uint64)])
+            plain = (sums[end] - sums[begin]) * down[begin]
+            hashes.append(mix(plain ^ mix((end - begin).astype(np.uint64) * _P)))
+        starts.append(begin + at)
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
 def shingle_sets(texts, size: int = 5) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word shingles. Fewer words: one shingle of all."""
-    known: dict[bytes, int] = {}
-    words, counts = [], []
-    for t in texts:
-        found = word_bytes(t)
-        counts.append(len(found))
-        for w in found:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            words.append(h)
-    flat = np.array(words, np.uint64)
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    starts, flat = _word_hashes(b" ".join(raw))
+    borders = np.cumsum([0] + [len(r) + 1 for r in raw])
+    counts = np.diff(np.searchsorted(starts, borders))
     out, at = [], 0
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(len(flat) - size + 1, 0), np.uint64)
         for i in range(size):
             rolled = mix(rolled * _P + flat[i:len(flat) - size + 1 + i] + np.uint64(1))
-        for n in counts:
+        for n in counts.tolist():
             if n >= size:
                 out.append(np.unique(rolled[at:at + n - size + 1]))
             elif n:
-                h = np.uint64(n)
+                h = np.array([n], np.uint64)
                 for x in flat[at:at + n]:
-                    h = mix(np.array([h * _P + x]))[0]
-                out.append(np.array([h], np.uint64))
+                    h = mix(h * _P + x)
+                out.append(h)
             else:
                 out.append(np.empty(0, np.uint64))
             at += n
