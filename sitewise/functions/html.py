@@ -204,14 +204,34 @@ def declutter(reduced: Column, limit: int = K.CLUTTER_CHARS) -> Column:
             parts, start, step,
             lambda s: F.concat(s.cuts, cuts_of(s.open, s.total, F.size(parts))),
         )
-        return let(cuts, lambda found: F.array_join(
-            F.transform(
-                F.filter(parts, lambda p: ~F.exists(found, lambda c: (p.seg >= c.lo) & (p.seg < c.hi))),
-                lambda p: p.html,
-            ),
-            "",
+        return let(cuts, lambda found: F.when(F.size(found) == 0, F.array_join(F.transform(parts, lambda p: p.html), "")).otherwise(
+            let(joined(found), lambda spans: F.array_join(F.transform(between(parts, spans), lambda p: p.html), ""))
         ))
 
+    def joined(found: Column) -> Column:
+        """Cuts which touch or hold each other as one, in order."""
+        start = F.struct(F.array().cast(_CUTS).alias("done"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+
+        def add(s: Column, c: Column) -> Column:
+            return F.when(c.lo <= s.hi, F.struct(
+                s.done.alias("done"), s.lo.alias("lo"), F.greatest(s.hi, c.hi).alias("hi")
+            )).otherwise(F.struct(ended(s).alias("done"), c.lo.alias("lo"), c.hi.alias("hi")))
+
+        def ended(s: Column) -> Column:
+            last = F.array(F.struct(s.lo.alias("lo"), s.hi.alias("hi")))
+            return F.when(s.lo >= 0, F.concat(s.done, last)).otherwise(s.done).cast(_CUTS)
+
+        return F.aggregate(F.array_sort(found), start, add, ended)
+
+    def between(parts: Column, spans: Column) -> Column:
+        """What the cuts leave: each piece is looked at once, however many cuts there are."""
+        def gap(j: Column) -> Column:
+            begin = F.when(j > 0, F.get(spans, j - 1)["hi"]).otherwise(F.lit(0))
+            end = F.coalesce(F.get(spans, j)["lo"], F.size(parts))
+            return F.slice(parts, begin + 1, F.greatest(end - begin, F.lit(0)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), gap))
+
     return let(reduced, lambda markup: let(pieces(markup), keep))
 
 

@@ -77,3 +77,13 @@ def test_no_task_gets_a_whole_hot_key(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) > 4 and max(sizes) < 0.5 * sum(sizes)
+
+
+def test_declutter_is_linear_in_its_cuts(values):
+    import time
+
+    page = "".join(f"<p>{i}</p><svg></svg>" for i in range(3000))
+    start = time.time()
+    got, = values(H.declutter, [page])
+    assert got == "".join(f"<p>{i}</p></svg>" for i in range(3000)) or got.count("<svg") == 0 and got.count("<p>") == 3000
+    assert time.time() - start < 20

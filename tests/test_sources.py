@@ -152,3 +152,5 @@ def test_scratch_folder(spark, tmp_path):
     warehouse = Session(spark_master="yarn", spark_sql_warehouse_dir="hdfs://w")
     assert scratch.scratch_dir(warehouse, "p").startswith("hdfs://w/sitewise/p-")
     assert scratch.scratch_dir(spark, "p")
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.scratch_dir(Session(spark_master="yarn", spark_sql_warehouse_dir="file:/tmp/w"), "p")
