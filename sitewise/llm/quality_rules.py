@@ -99,7 +99,8 @@ def judge_quality(
     # size, as a list of ids grows with the corpus.
     ids = stored(ids, "trusted-ids")
     near = may_match(texts, ids.withColumnRenamed("trusted_id", "id"), ["id"])
-    target = near.join(ids.hint("merge"), F.col("id") == F.col("trusted_id"), "left_semi")
+    # Inner, as the ids are distinct: Spark would move a semi-join below the filter.
+    target = near.join(ids.hint("merge"), F.col("id") == F.col("trusted_id")).select("text")
     weights = stored(
         bin_weights(gram_counts(target, buckets), gram_counts(texts, buckets), buckets, smoothing), "gram-weights"
     )
