@@ -44,7 +44,8 @@ def may_match(df: DataFrame, keys: DataFrame, on: list[str], max_bytes: int = MA
     """Rows of ``df`` whose columns ``on`` may be among those of ``keys``: all which are, and a few more.
 
     Nulls count as equal. ``keys`` is counted first, so it should be a stored table. No keys leave no
-    rows; with so many that the filter would be over ``max_bytes``, ``df`` comes back as it is.
+    rows; with so many that the filter would be over ``max_bytes``, ``df`` comes back as it is. The exact
+    join to follow should be an inner one: the optimizer moves semi- and anti-joins below the filter.
     """
     blocks = max(1, math.ceil(keys.count() * BITS_PER_KEY / BLOCK_BITS))
     if blocks * (BLOCK_BITS // 8 + 16) > max_bytes:

@@ -68,7 +68,8 @@ class RunStore:
             parts.append(part.drop("slice").withColumn("_age", F.lit(age)))
         rows = reduce(DataFrame.unionByName, parts)
         if keys is not None:
-            rows = may_match(rows, keys, [self.key]).join(keys.select(self.key).distinct(), self.key, "left_semi")
+            # Inner, as the keys are distinct: Spark would move a semi-join below the filter.
+            rows = may_match(rows, keys, [self.key]).join(keys.select(self.key).distinct(), self.key)
         if len(runs) > 1:
             # The newest run of each key on two narrow columns; the wide rows are joined to it once.
             newest = rows.groupBy(self.key).agg(F.min("_age").alias("_age"))
