@@ -82,3 +82,27 @@ def test_sets_match_plain_shingles():
 
 def test_empty_table(spark):
     assert jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    from sitewise.llm.components import components
+
+    rnd = random.Random(6)
+    edges = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    want = {x: find(x) for x in list(root)}
+    for most in (0, 10**6):
+        got = components(table, one_task=most).collect()
+        assert {r.id: r.component for r in got} == want and len(got) == len(want)
+    assert components(table.limit(0)).count() == 0
