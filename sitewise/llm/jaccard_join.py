@@ -12,9 +12,10 @@ classes in blocks get signatures, and a signature counts inside its block. The o
 order gives blocks which no link crosses, rarest first gives the smallest.
 
 In blocks of at most ``small_block`` classes, by far the most, the buckets are formed inside the
-task which has the block. In larger ones signatures are shuffled: in each bucket all members are paired with the smallest only; then, after linking, the
-buckets in which two components are left give the pairs between these. So large groups of near
-copies cost a star, not all their pairs, and no link between components is lost.
+task which has the block. In larger ones signatures are shuffled, and a class is paired with the smallest
+members of its buckets, those it meets most often; then, after linking, classes of different components
+with a common first shingle are paired. So large groups of near copies cost a few stars, not all their pairs,
+and no link between components is lost.
 
 Shuffles: all shingles once, packed (some 7 bytes each), those found twice once more; texts once, to meet
 the classes in blocks; signatures of these. Nothing is broadcast but the frequent shingles, 100,000 at most.
@@ -38,6 +39,8 @@ from sitewise.llm.signatures import PartEnum, set_hash, shingle_sets, similar
 from sitewise.sources.scratch import stored
 
 CHUNK = 1000  # texts shingled at a time
+#: Members of its buckets with which a class of a large block is tested first.
+LEADS = 8
 
 
 def _chunks(batches, column):
@@ -206,23 +209,24 @@ def jaccard_classes(
         _inside(percent, parts), "a long, b long"
     )
     signed = sets.where("large").select("id", "block", "set").mapInPandas(sign, "block long, sig long, id long")
-    bucket = Window.partitionBy("block", "sig")
-    members = stored(
-        signed.withColumn("lead", F.min("id").over(bucket)).withColumn("top", F.max("id").over(bucket)).where("lead <> top").drop("top"),
-        "signature-buckets",
-    )
-    pairs = members.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    # A bucket's members and its smallest one. Near copies meet a few of these again and again: each class
+    # is tested with those it meets most often; whoever is left apart by that is seen to below.
+    lead = F.min("id").over(Window.partitionBy("block", "sig"))
+    met = signed.withColumn("lead", lead).where("lead <> id").groupBy("id", "lead").agg(F.count("*").alias("times"))
+    often_met = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("times"), "lead"))
+    pairs = met.withColumn("nth", often_met).where(F.col("nth") <= LEADS).select(F.col("lead").alias("a"), F.col("id").alias("b"))
     links = stored(_verified(pairs, sets.where("large"), percent).unionByName(near), "links")
 
-    # What a star leaves open: buckets with two components or more. Pairs with the leader are done.
+    # What that leaves open: a link between two components joins classes with a common first shingle, so all
+    # pairs across components are tested where members of two or more have one.
     known = components(links)
-    placed = members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = placed.where("lead <> id").withColumn(
-        "mixed", F.min("component").over(bucket) != F.max("component").over(bucket)
-    ).where("mixed").select("block", "sig", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = stored(rest, "open-buckets")
-    others = rest.withColumnsRenamed({"b": "a", "cb": "ca"})
-    open_ = others.join(rest, ["block", "sig"]).where("a < b and ca <> cb").select("a", "b").distinct()
+    large = wanted.where("large").select("id", "n").join(named.select("ref", "id"), "id")
+    placed = first.join(large, "ref").join(known, "id", "left").select("s", "id", "n", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
+    rest = stored(placed.join(mixed, "s").select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "open-buckets")
+    others = rest.withColumnsRenamed({"b": "a", "nb": "na", "cb": "ca"})
+    sized = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    open_ = others.join(rest, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized).select("a", "b").distinct()
     links = links.unionByName(stored(_verified(open_, sets.where("large"), percent), "links"))
 
     linked = components(links)
