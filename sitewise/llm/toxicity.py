@@ -117,10 +117,14 @@ def learn(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8_000, bins: int = 1 << 20,
     text: str = "text", doc_id: str = "doc_id", **options,
 ) -> FactorizationMachine:
-    """Fit on at most ``sample`` documents of ``labels`` (doc_id, label)."""
+    """Fit on at most ``sample`` documents of ``labels`` (doc_id, label).
+
+    An id with several labels counts as not toxic if one of them says so; of several documents with one
+    id the one with the least bins counts: the model does not depend on the order of the rows.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")
-    ).dropDuplicates(["id"]).withColumn("h", F.xxhash64("id"))
+    ).groupBy("id").agg(F.min("y").alias("y")).withColumn("h", F.xxhash64("id"))
     # Two bounded lists of ids: what is broadcast never exceeds ``sample`` rows.
     picked = None
     for y in (0, 1):
@@ -133,7 +137,7 @@ def learn(
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(picked), "id").select(
         "h", "id", "y", found("t").alias("bins")
-    ).dropDuplicates(["id"]).orderBy("h", "id").toLocalIterator()
+    ).groupBy("h", "id", "y").agg(F.min("bins").alias("bins")).orderBy("h", "id").toLocalIterator()
     read = [(np.frombuffer(r.bins, np.int32).astype(np.int64), r.y) for r in rows]
     return fit_machine([x for x, _ in read], np.asarray([y for _, y in read]), **options)
 

@@ -40,3 +40,16 @@ def test_scores_and_cases(spark):
 @pytest.mark.parametrize("i", [0, 1, 7, 12, 99, 12345])
 def test_held_out(spark, i):
     assert spark.range(1).select(held_out(F.lit(i)).alias("h")).first().h == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_the_model_does_not_depend_on_the_order_of_rows(spark):
+    known = texts(260, 5)
+    labels = [(i, y) for i, (_, y) in enumerate(known)] + [(i, 1 - known[i][1]) for i in range(0, 260, 9)] + [(None, 1)]
+    docs = [(i, t) for i, (t, _) in enumerate(known)] + [(i, "another text rude group") for i in range(0, 260, 11)]
+    models = []
+    for turn in (1, -1):
+        l = spark.createDataFrame(labels[::turn], "doc_id long, toxic int").repartition(2 + turn)
+        d = spark.createDataFrame(docs[::turn], "doc_id long, text string").repartition(3 + turn)
+        models.append(learn(d, l, sample=200))
+    a, b = models
+    assert a.bias == b.bias and (a.weights == b.weights).all() and (a.factors == b.factors).all()
