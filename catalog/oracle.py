@@ -99,11 +99,8 @@ def densest(markup: str, part: str = "t", between: str = "chr(10)") -> str:
 def main_text(markup: str, minimum: int) -> str:
     region = lines(f"regexp_extract({markup}, '(?is)<article>(.*)</article>', 1)")
     # A list of one stands for a name, so that the scan is written once.
-    found = (
-        f"list_transform([{{'p': {densest(markup, 'm', chr(39) * 2)}, 't': {densest(markup)}}}], lambda d: "
-        f"list_transform([{paragraphs('d.p')}], lambda p: CASE WHEN length(p) > {minimum} THEN p "
-        f"WHEN length(d.t) > {minimum} THEN d.t END)[1])[1]"
-    )
+    run = densest(markup, "m", "''")
+    found = f"list_transform([{run}], lambda d: list_transform([{paragraphs('d')}], lambda p: CASE WHEN length(p) > {minimum} THEN p END)[1])[1]"
     return f"CASE WHEN length({region}) > {minimum} THEN {region} ELSE coalesce({found}, {lines(markup)}) END"
 
 

@@ -313,13 +313,13 @@ def densest_run(decluttered: Column) -> Column:
 
 
 def main_text(decluttered: Column, minimum: int = K.MIN_EXTRACT_CHARS) -> Column:
-    """First of region, paragraphs of the densest run, that run and the whole page which is long enough."""
+    """First of region, paragraphs of the densest run and the whole page which is long enough."""
     def long_enough(text: Column) -> Column:
         return let(text, lambda t: F.when(F.length(t) > minimum, t))
 
     return F.coalesce(
         long_enough(region_text(decluttered)),
-        let(densest_run(decluttered), lambda run: F.coalesce(long_enough(paragraph_text(run["markup"])), long_enough(run["text"]))),
+        long_enough(paragraph_text(densest_run(decluttered)["markup"])),
         text_lines(decluttered),
     )
 
