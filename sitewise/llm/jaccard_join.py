@@ -14,7 +14,8 @@ order gives blocks which no link crosses, rarest first gives the smallest.
 In blocks of at most ``small_block`` classes, by far the most, the buckets are formed inside the
 task which has the block. In larger ones signatures are shuffled, and a class is paired with the smallest
 members of its buckets, those it meets most often; then, after linking, classes of different components
-with a common first shingle are paired. So large groups of near copies cost a few stars, not all their pairs,
+with a common first shingle are paired, unless sketches of their sets (an exact bound) tell that they are too
+different. So large groups of near copies cost a few stars, not all their pairs,
 and no link between components is lost.
 
 Shuffles: all shingles once, packed (some 7 bytes each), those found twice once more; texts once, to meet
@@ -27,15 +28,17 @@ null id take part, their own component is the smallest id of the class that is n
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.llm.common import row_key
 from sitewise.llm.components import components
 from sitewise.llm.shared_shingles import REF_BITS, first_shingles, short_hashes
-from sitewise.llm.signatures import PartEnum, set_hash, shingle_sets, similar
+from sitewise.llm.signatures import SKETCH_LONGS, PartEnum, parity_sketch, set_hash, shingle_sets, similar
 from sitewise.sources.scratch import stored
 
 CHUNK = 1000  # texts shingled at a time
@@ -80,17 +83,15 @@ def _prefix(n: int, percent: int) -> int:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of (a, b) whose sets are similar."""
 
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        pairs_ = zip(x, y, strict=True)
-        return pd.Series([similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in pairs_], dtype=bool)
-
+    # A built-in test: batches of pairs for Python would hold two sets for each of 10,000 rows.
+    both = F.size(F.array_intersect("x", "y"))
+    alike = 100 * both >= percent * (F.size("x") + F.size("y") - both)
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("x"), F.col("n").alias("na"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("y"), F.col("n").alias("nb"))
     sized = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b"
     ).where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b")
-    return sized.join(left.drop("na"), "a").join(right.drop("nb"), "b").where(alike("x", "y")).select("a", "b")
+    return sized.join(left.drop("na"), "a").join(right.drop("nb"), "b").where(alike).select("a", "b")
 
 
 def _inside(percent: int, parts: int):
@@ -118,7 +119,7 @@ def _inside(percent: int, parts: int):
                     out += solve(ids, sets, scheme) if len(ids) > 1 else []
                     block, ids, sets = b, [], []
                 ids.append(i)
-                sets.append(np.frombuffer(raw, np.uint64))
+                sets.append(raw.view(np.uint64))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
         yield pd.DataFrame(solve(ids, sets, scheme) if len(ids) > 1 else [], columns=["a", "b"], dtype="int64")
 
@@ -186,15 +187,17 @@ def jaccard_classes(
 
     def rebuild(batches):
         for part, texts in _chunks(batches, "t"):
+            sets_ = shingle_sets(texts, size)
             yield pd.DataFrame({
                 "id": part["id"], "block": part["block"], "large": part["large"], "n": part["n"],
-                "set": [s.tobytes() for s in shingle_sets(texts, size)],
+                "set": [s.view(np.int64) for s in sets_],
+                "sketch": [parity_sketch(s) if big else None for s, big in zip(sets_, part["large"], strict=True)],
             })
 
     texts = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(text).alias("t"))
     sets = stored(
         texts.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("id", "block", "large", "n", "t").mapInPandas(
-            rebuild, "id long, block long, large boolean, n long, set binary"
+            rebuild, "id long, block long, large boolean, n long, set array<long>, sketch array<long>"
         ), "shingle-sets",
     )
 
@@ -202,7 +205,7 @@ def jaccard_classes(
         scheme = PartEnum(percent, parts)
         for batch in batches:
             for i, block, raw in zip(batch["id"], batch["block"], batch["set"], strict=True):
-                sigs = scheme.signatures(np.frombuffer(raw, np.uint64)).view(np.int64)
+                sigs = scheme.signatures(raw.view(np.uint64)).view(np.int64)
                 yield pd.DataFrame({"block": np.full(len(sigs), block), "sig": sigs, "id": np.full(len(sigs), i)})
 
     near = sets.where("not large").select("block", "id", "set").repartition("block").sortWithinPartitions("block").mapInPandas(
@@ -223,10 +226,18 @@ def jaccard_classes(
     large = wanted.where("large").select("id", "n").join(named.select("ref", "id"), "id")
     placed = first.join(large, "ref").join(known, "id", "left").select("s", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
-    rest = stored(placed.join(mixed, "s").select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "open-buckets")
-    others = rest.withColumnsRenamed({"b": "a", "nb": "na", "cb": "ca"})
+    sketches = sets.where("large").select("id", *(F.get("sketch", F.lit(i)).alias(f"b{i}") for i in range(SKETCH_LONGS)))
+    rest = stored(placed.join(mixed, "s").join(sketches, "id").select(
+        "s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *(f"b{i}" for i in range(SKETCH_LONGS))
+    ), "open-buckets")
+    others = rest.withColumnsRenamed({"b": "a", "nb": "na", "cb": "ca", **{f"b{i}": f"a{i}" for i in range(SKETCH_LONGS)}})
     sized = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    open_ = others.join(rest, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized).select("a", "b").distinct()
+    # Every shingle in one set only turns one bit at most, so sets further apart than this are no link.
+    turned = reduce(Column.__add__, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH_LONGS)))
+    near_by = (100 + percent) * turned <= (100 - percent) * (F.col("na") + F.col("nb"))
+    open_ = others.join(rest, "s").where(
+        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized & near_by
+    ).select("a", "b").distinct()
     links = links.unionByName(stored(_verified(open_, sets.where("large"), percent), "links"))
 
     linked = components(links)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 HASH_BITS, REF_BITS = 40, 40
 #: Characters of text for each range, and shingles gathered before they are sent.
-RANGE_CHARS, FLUSH = 1 << 22, 1 << 21
+RANGE_CHARS, FLUSH = 1 << 22, 1 << 19
 
 
 def _pack(values: np.ndarray, size: int) -> bytes:

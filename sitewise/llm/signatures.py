@@ -161,6 +161,18 @@ class PartEnum:
         return np.unique(np.concatenate([self._instance(s, band), self._instance(s, band + 1)]))
 
 
+#: Longs of a sketch: 2,048 bits tell unrelated sets of up to some 3,500 elements apart.
+SKETCH_LONGS = 32
+
+
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """For each of 2,048 hash values, whether an odd number of elements has it, as longs. The sketches of two
+    sets differ in no more bits than there are elements in one of the sets only."""
+    place = mix(s ^ np.uint64(0x5EED))
+    odd = np.bincount((place % np.uint64(SKETCH_LONGS * 64)).astype(np.int64), minlength=SKETCH_LONGS * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
     """Exact test on sorted distinct arrays."""
     both = len(np.intersect1d(a, b, assume_unique=True))

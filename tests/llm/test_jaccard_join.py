@@ -106,3 +106,26 @@ def test_components_in_one_task_and_in_rounds(spark):
         got = components(table, one_task=most).collect()
         assert {r.id: r.component for r in got} == want and len(got) == len(want)
     assert components(table.limit(0)).count() == 0
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements():
+    from sitewise.llm.signatures import parity_sketch
+
+    rnd = np.random.default_rng(5)
+    for n in (0, 1, 50, 700, 6000):
+        a, b = (np.unique(rnd.integers(0, 2**63, n).astype(np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([a[n // 5:], b[:n // 7]]))
+        bits = np.unpackbits((parity_sketch(a) ^ parity_sketch(b)).view(np.uint8)).sum()
+        assert len(parity_sketch(a)) == 32 and bits <= len(np.setxor1d(a, b))
+    far = [np.unique(rnd.integers(0, 2**63, 700).astype(np.uint64)) for _ in range(2)]
+    assert np.unpackbits((parity_sketch(far[0]) ^ parity_sketch(far[1])).view(np.uint8)).sum() > 200
+
+
+def test_pairs_are_tested_without_batches_for_python(spark):
+    from sitewise.llm.jaccard_join import _verified
+
+    sets = spark.createDataFrame([(1, 4, [1, 2, 3, 4]), (2, 4, [1, 2, 3, 5]), (3, 5, [-7, 1, 2, 3, 4])], "id long, n long, set array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    found = _verified(pairs, sets, 75)
+    assert [tuple(r) for r in found.collect()] == [(1, 3)]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
