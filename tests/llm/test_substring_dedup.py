@@ -68,3 +68,17 @@ def test_cut_matches_brute_force(spark, group_bytes):
 
 def test_empty_table(spark):
     assert cut_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_400_bytes_take_eight_rounds(monkeypatch):
+    from sitewise.llm import bwt
+
+    depths, merge = [], bwt.merge
+    monkeypatch.setattr(bwt, "merge", lambda shards, depth: depths.append(depth) or merge(shards, depth))
+    rnd = random.Random(4)
+    passage = bytes(rnd.choice(b"abcd") for _ in range(600))
+    strings = [passage[rnd.randint(0, 150):] + bytes([65 + i]) * rnd.randint(0, 300) for i in range(40)]
+    seen = collections.Counter(s[p:p + 400] for s in strings for p in range(len(s) - 399))
+    want = [[seen[s[p:p + 400]] > 1 for p in range(len(s) - 399)] for s in strings]
+    assert [m.tolist() for m in bwt.repeated_windows(strings, [1] * 40, 400, 2000)] == want
+    assert depths == [8]
