@@ -125,3 +125,14 @@ def test_a_site_done_again_moves_its_count(spark, tmp_path):
         got = incremental.live_status(spark, work)
         assert rows(got) == rows(want.select(*got.columns))
     assert got.count() == 1 and got.first().rows_done == 4
+
+
+def test_a_file_with_one_row_group_is_dealt_out(spark, tmp_path):
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+    data = table(spark, *(seen(f"u{i}", i, page(f"{i} {LONG}"), 200, "requests", "", i, f"s{i % 9}") for i in range(60)))
+    data.coalesce(1).write.parquet(source)
+    incremental.run_incremental_sites(spark, source, data.schema, work, slices=2, max_files_per_trigger=1)
+    incoming = spark.read.parquet(f"{work}/incoming").groupBy(F.input_file_name()).count()
+    assert incoming.count() > 1 and incoming.agg(F.sum("count")).first()[0] == 60
+    got, want = incremental.current_results(spark, work), site_results(data, merge=True)
+    assert rows(got) == rows(want.select(*got.columns))
