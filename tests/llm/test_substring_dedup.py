@@ -82,3 +82,28 @@ def test_400_bytes_take_eight_rounds(monkeypatch):
     want = [[seen[s[p:p + 400]] > 1 for p in range(len(s) - 399)] for s in strings]
     assert [m.tolist() for m in bwt.repeated_windows(strings, [1] * 40, 400, 2000)] == want
     assert depths == [8]
+
+
+def test_segments_are_listed_without_searching_all_grams(monkeypatch):
+    from sitewise.llm import substring_dedup as sd
+
+    def isin(*_):
+        raise AssertionError("every gram was searched among the minimizers")
+
+    monkeypatch.setattr(np, "isin", isin)
+    rnd = random.Random(9)
+    line = bytes(rnd.choice(b"abcdefgh ") for _ in range(90))
+    plain = bytes(rnd.choice(b"abcdefgh ") for _ in range(2500))
+    again = 0
+    for raw in (plain, plain[:700] + line * 9 + plain[700:], b"a" * 1200, line + plain[:150] + line + plain[150:400], plain[:399], b""):
+        found = sd.segments_of(raw, 400)
+        assert sum(n for _, _, n, *_ in found) == max(len(raw) - 399, 0)
+        for key, a, n, twice, c1, c2 in found:
+            grams = sd._gram_hashes(raw[a:a + n + 399]).view(np.int64).tolist()
+            assert all(min(np.array(grams[i:i + 337]).view(np.uint64)) == np.int64(key).view(np.uint64) for i in range(n))
+            assert twice == (grams.count(key) > 1)
+            again += twice
+    assert again
+    same = [s for s in sd.segments_of(plain + line, 400)[1:-2]]
+    moved = {s[0]: s for s in sd.segments_of(line + plain + line, 400)}
+    assert all((moved[k][2:], moved[k][1] - a) == ((n, *rest), 90) for k, a, n, *rest in same)
