@@ -32,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,18 +42,27 @@ from sitewise.llm.shared_shingles import REF_BITS, first_shingles, short_hashes
 from sitewise.llm.signatures import SKETCH_LONGS, PartEnum, parity_sketch, set_hash, shingle_sets, similar
 from sitewise.sources.scratch import stored
 
-CHUNK = 1000  # texts shingled at a time
+CHUNK = 250  # texts shingled at a time
 #: Members of its buckets with which a class of a large block is tested first.
 LEADS = 8
+#: So many shingles of a block are marked, by which pairs with several common ones are told; 64 to a long.
+MARKS = 256
 
 
 def _chunks(batches, column):
+    """Arrow batches a few texts at a time: as Python's strings a whole batch takes twice its memory."""
     for batch in batches:
-        for at in range(0, len(batch), CHUNK):
-            part = batch.iloc[at:at + CHUNK]
+        for at in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(at, CHUNK).to_pandas()
             yield part, part[column].tolist()
 
 
+def _in_arrow(run, **fields):
+    """For ``mapInArrow``, a function which yields data frames."""
+    schema = pa.schema(fields)
+    return lambda batches: (pa.RecordBatch.from_pandas(out, schema, preserve_index=False) for out in run(batches))
+
+
 def frequent_shingles(docs: DataFrame, size: int, text: str, every: int = 16, least: int = 4, most: int = 100_000) -> np.ndarray:
     """Shingles found in ``least`` documents or more of every sixteenth, ``most`` at most."""
 
@@ -63,7 +73,7 @@ def frequent_shingles(docs: DataFrame, size: int, text: str, every: int = 16, le
                 yield pd.DataFrame({"s": s.view(np.int64)})
 
     sample = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
-    counts = sample.mapInPandas(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    counts = sample.mapInArrow(_in_arrow(run, s=pa.int64()), "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     rows = counts.orderBy(F.desc("n"), "s").limit(most).select("s").collect()
     return np.sort(np.array([r.s for r in rows], np.int64).view(np.uint64))
 
@@ -150,8 +160,10 @@ def jaccard_classes(
 
     kind = docs.schema[doc_id].dataType.simpleString()
     keyed = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(doc_id).cast("string").alias("id"), F.col(text).alias("t"))
+    longs = pa.list_(pa.int64())
+    described = _in_arrow(describe, k1=pa.int64(), k2=pa.int64(), id=pa.string(), n=pa.int64(), s1=pa.int64(), s2=pa.int64(), often=pa.int64(), tail=longs)
     schema = "k1 long, k2 long, id string, n long, s1 long, s2 long, often long, tail array<long>"
-    rows = stored(keyed.mapInPandas(describe, schema).withColumn("id", F.col("id").cast(kind)), "shingle-rows")
+    rows = stored(keyed.mapInArrow(described, schema).withColumn("id", F.col("id").cast(kind)), "shingle-rows")
 
     # A class's number: 64 bits of its 128-bit name; another seed should two classes share one.
     full = rows.where("n > 0")
@@ -169,7 +181,7 @@ def jaccard_classes(
     # Blocks: classes connected by common first shingles, through the short names of their sets.
     short = (F.col("s1").bitwiseAND((1 << REF_BITS) - 1)).alias("ref")
     named = classes.select(short, "id", "n", "often")
-    first = first_shingles(keyed.select("t"), named, percent, size, often, _chunks, _common).unionByName(
+    first = first_shingles(keyed.select("t"), named, percent, size, often, _chunks, _common, _in_arrow).unionByName(
         classes.select(short, F.explode("tail").alias("s"))
     )
     first = stored(first, "first-shingles")
@@ -196,8 +208,9 @@ def jaccard_classes(
 
     texts = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(text).alias("t"))
     sets = stored(
-        texts.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("id", "block", "large", "n", "t").mapInPandas(
-            rebuild, "id long, block long, large boolean, n long, set array<long>, sketch array<long>"
+        texts.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("id", "block", "large", "n", "t").mapInArrow(
+            _in_arrow(rebuild, id=pa.int64(), block=pa.int64(), large=pa.bool_(), n=pa.int64(), set=longs, sketch=longs),
+            "id long, block long, large boolean, n long, set array<long>, sketch array<long>"
         ), "shingle-sets",
     )
 
@@ -223,21 +236,42 @@ def jaccard_classes(
     # What that leaves open: a link between two components joins classes with a common first shingle, so all
     # pairs across components are tested where members of two or more have one.
     known = components(links)
-    large = wanted.where("large").select("id", "n").join(named.select("ref", "id"), "id")
-    placed = first.join(large, "ref").join(known, "id", "left").select("s", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
+    large = wanted.where("large").select("id", "n", "block").join(named.select("ref", "id"), "id")
+    placed = first.join(large, "ref").join(known, "id", "left").select("s", "id", "n", "block", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("s").agg(
+        F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"), F.first("block").alias("block")
+    ).where("low <> high").select("s", "size", "block")
+    # Near copies have many first shingles in common, a pair is wanted once: the most frequent ones of a block are
+    # marked, and a pair counts at the first of these it has in common (or, having none, at any other).
+    nth = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("size"), "s")) - 1
+    marks = mixed.withColumn("nth", nth).where(F.col("nth") < MARKS).select("s", "nth")
+    open_rows = stored(placed.drop("block").join(mixed.select("s"), "s").join(marks, "s", "left"), "open-rows")
+    words = range(MARKS // 64)
+    has = open_rows.where("nth is not null").groupBy("id").agg(*(
+        F.bit_or(F.expr(f"if(nth div 64 = {k}, shiftleft(1L, cast(nth % 64 as int)), 0L)")).alias(f"m{k}") for k in words
+    ))
+    # Of a class's marks, those ahead of the row's own shingle.
+    ahead = [
+        F.expr(f"if(nth is null or nth >= {64 * k + 64}, coalesce(m{k}, 0L), if(nth < {64 * k}, 0L, m{k} & ~shiftleft(-1L, cast(nth % 64 as int))))")
+        for k in words
+    ]
     sketches = sets.where("large").select("id", *(F.get("sketch", F.lit(i)).alias(f"b{i}") for i in range(SKETCH_LONGS)))
-    rest = stored(placed.join(mixed, "s").join(sketches, "id").select(
-        "s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *(f"b{i}" for i in range(SKETCH_LONGS))
+    rest = stored(open_rows.join(has, "id", "left").join(sketches, "id").select(
+        "s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"),
+        *(a.alias(f"eb{k}") for k, a in enumerate(ahead)), *(f"b{i}" for i in range(SKETCH_LONGS))
     ), "open-buckets")
-    others = rest.withColumnsRenamed({"b": "a", "nb": "na", "cb": "ca", **{f"b{i}": f"a{i}" for i in range(SKETCH_LONGS)}})
+    others = rest.withColumnsRenamed({"b": "a", "nb": "na", "cb": "ca", **{f"eb{k}": f"ea{k}" for k in words}, **{f"b{i}": f"a{i}" for i in range(SKETCH_LONGS)}})
     sized = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
     # Every shingle in one set only turns one bit at most, so sets further apart than this are no link.
     turned = reduce(Column.__add__, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SKETCH_LONGS)))
     near_by = (100 + percent) * turned <= (100 - percent) * (F.col("na") + F.col("nb"))
+    unmet = reduce(Column.__and__, (F.col(f"ea{k}").bitwiseAND(F.col(f"eb{k}")) == 0 for k in words))
     open_ = others.join(rest, "s").where(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized & near_by
-    ).select("a", "b").distinct()
+        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized & unmet & near_by
+    ).select("a", "b")
+    # Shingles of classes with one short name, if any, count as one class's.
+    twins = large.select("ref", F.col("id").alias("a")).join(large.select("ref", F.col("id").alias("b")), "ref").where("a < b")
+    open_ = open_.unionByName(twins.select("a", "b")).distinct()
     links = links.unionByName(stored(_verified(open_, sets.where("large"), percent), "links"))
 
     linked = components(links)

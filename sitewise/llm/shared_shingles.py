@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,13 +64,26 @@ def _grouped(batches, key: str):
         yield now, held
 
 
+def _sets_of_each(flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of hashes and the sets which have them: each of both once, for hashes found in two sets or more,
+    and in how many (255 at most)."""
+    order = np.lexsort((owner, flat))
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    flat, owner = flat[new], owner[new]
+    times = np.unique(flat, return_counts=True)[1]
+    found = np.repeat(times, times)
+    return flat[found > 1], owner[found > 1], np.minimum(found[found > 1], 255)
+
+
 def short_hashes(s: np.ndarray) -> int:
     """How many hashes of a sorted set are left when they are cut short."""
     cut = s >> np.uint64(64 - HASH_BITS)
     return int((cut[1:] != cut[:-1]).sum()) + bool(len(cut))
 
 
-def first_shingles(texts: DataFrame, sets: DataFrame, percent: int, size: int, often, chunks, common) -> DataFrame:
+def first_shingles(texts: DataFrame, sets: DataFrame, percent: int, size: int, often, chunks, common, in_arrow) -> DataFrame:
     """(ref, s): shared first shingles, but for frequent ones, of every set.
 
     ``texts`` has the texts ``t``; ``sets`` one row for each distinct set: ``ref``, its short name, ``n``, the
@@ -114,11 +128,10 @@ def first_shingles(texts: DataFrame, sets: DataFrame, percent: int, size: int, o
             owner = np.concatenate([_unpack(r.refs, 5) for r in rows])
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            new = np.concatenate([[True], flat[1:] != flat[:-1]])
-            times = np.diff(np.append(np.flatnonzero(new), len(flat)))
-            found = np.repeat(times, times)
-            kept = found > 1
-            flat, owner, found = flat[kept], owner[kept], np.minimum(found[kept], 255)
+            same = flat[1:] == flat[:-1]
+            kept = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            # Copies sent by several tasks count once, however the texts are dealt out.
+            flat, owner, found = _sets_of_each(flat[kept], owner[kept])
             order = np.argsort(owner, kind="stable")
             flat, owner, found = flat[order], owner[order], found[order]
             yield pd.DataFrame(
@@ -149,10 +162,7 @@ def first_shingles(texts: DataFrame, sets: DataFrame, percent: int, size: int, o
             flat = np.concatenate([_unpack(r.hashes, 5) for r in entries])
             found = np.concatenate([_unpack(r.times, 1) for r in entries])
             order = np.lexsort((flat, found, owner))
-            owner, flat, found = owner[order], flat[order], found[order]
-            # A set sent by several tasks has each shingle several times.
-            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (flat[1:] != flat[:-1])])
-            owner, flat = owner[new], flat[new]
+            owner, flat = owner[order], flat[order]
             refs, start, shared = np.unique(owner, return_index=True, return_counts=True)
             order = np.argsort(names, kind="stable")
             names, n, frequent = names[order], n[order], frequent[order]
@@ -165,7 +175,8 @@ def first_shingles(texts: DataFrame, sets: DataFrame, percent: int, size: int, o
             kept = rank < np.repeat(wanted, shared)
             yield pd.DataFrame({"ref": owner[kept].astype(np.int64), "s": flat[kept].astype(np.int64)})
 
-    posted = texts.mapInPandas(post, "r int, hashes binary, refs binary")
+    packed = in_arrow(post, r=pa.int32(), hashes=pa.binary(), refs=pa.binary())
+    posted = texts.mapInArrow(packed, "r int, hashes binary, refs binary")
     shared = posted.repartition("r").sortWithinPartitions("r").mapInPandas(share, "r int, refs binary, hashes binary, times binary")
     headed = sets.select("ref", "n", "often").mapInPandas(heads, "r int, refs binary, hashes binary, times binary")
     both = shared.withColumn("head", F.lit(False)).unionByName(headed.withColumn("head", F.lit(True)))

@@ -129,3 +129,51 @@ def test_pairs_are_tested_without_batches_for_python(spark):
     found = _verified(pairs, sets, 75)
     assert [tuple(r) for r in found.collect()] == [(1, 3)]
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_count_once_however_they_are_dealt_out():
+    from sitewise.llm.shared_shingles import _sets_of_each
+
+    # 5 is found in one set sent by three tasks, 7 in two sets of which one was sent twice, 9 in three.
+    flat = np.array([5, 5, 5, 7, 7, 7, 9, 9, 9], np.uint64)
+    owner = np.array([1, 1, 1, 2, 3, 2, 4, 2, 3], np.uint64)
+    assert [x.tolist() for x in _sets_of_each(flat, owner)] == [[7, 7, 9, 9, 9], [2, 3, 2, 3, 4], [2, 2, 3, 3, 3]]
+    none = np.empty(0, np.uint64)
+    assert [len(x) for x in _sets_of_each(none, none)] == [0, 0, 0]
+
+
+def test_open_pairs_of_near_copies_are_made_once(spark, monkeypatch):
+    from sitewise.llm import jaccard_join as jj
+
+    # One base, some of 400 words replaced by other ones: many pairs are no link, and have most shingles in common.
+    rnd = random.Random(8)
+    base = ["b%d" % i for i in range(400)]
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        for at in rnd.sample(range(400), 9 if i % 3 else 5):
+            copy[at] = "x%d" % rnd.randint(0, 10**6)
+        rows.append((i, " ".join(copy)))
+    tables, made, stored, verified = {}, [], jj.stored, jj._verified
+
+    def keep(df, purpose):
+        tables[purpose] = stored(df, purpose)
+        return tables[purpose]
+
+    def count(pairs, sets, percent):
+        if "open-buckets" in tables:
+            made.append((pairs.count(), tables["open-buckets"]))
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(jj, "stored", keep)
+    monkeypatch.setattr(jj, "_verified", count)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jj.jaccard_classes(df, small_block=0).collect()), key=repr)
+    assert got == brute(rows)
+    pairs, buckets = made[0]
+    assert tables["open-rows"].agg({"nth": "max"}).first()[0] > 64
+    words = range(jj.MARKS // 64)
+    a, b = buckets.alias("a"), buckets.alias("b")
+    met = a.join(b, "s").where("a.b < b.b and a.cb <> b.cb").where(" and ".join(f"(a.eb{k} & b.eb{k}) = 0" for k in words))
+    assert met.count() == met.select("a.b", "b.b").distinct().count() == a.join(b, "s").where("a.b < b.b and a.cb <> b.cb").select(
+        "a.b", "b.b").distinct().count() > pairs
