@@ -19,7 +19,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes hashed at once; a piece ends at a blank, so only a longer word makes it longer.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\x0b\x0c\r")] = True

@@ -177,3 +177,18 @@ def test_open_pairs_of_near_copies_are_made_once(spark, monkeypatch):
     met = a.join(b, "s").where("a.b < b.b and a.cb <> b.cb").where(" and ".join(f"(a.eb{k} & b.eb{k}) = 0" for k in words))
     assert met.count() == met.select("a.b", "b.b").distinct().count() == a.join(b, "s").where("a.b < b.b and a.cb <> b.cb").select(
         "a.b", "b.b").distinct().count() > pairs
+
+
+def test_texts_of_a_batch_are_taken_a_few_at_a_time():
+    import pyarrow as pa
+
+    from sitewise.llm import jaccard_join as jj
+    from sitewise.llm import signatures
+
+    texts = [None if i % 7 == 0 else "é w%d " % i * 30 for i in range(620)]
+    parts = list(jj._chunks([pa.record_batch({"t": pa.array(texts), "id": pa.array(range(620))})], "t"))
+    assert [len(p) for p, _ in parts] == [250, 250, 120]
+    assert sum((t for _, t in parts), []) == texts and [i for p, _ in parts for i in p["id"]] == list(range(620))
+    assert signatures.PIECE * 8 <= 2 << 20
+    long = " ".join("w%d" % (i % 50_000) for i in range(150_000))
+    assert len(long) > 3 * signatures.PIECE and len(shingle_sets([long])[0]) == 50_000
