@@ -242,7 +242,7 @@ def jaccard_classes(
         F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"), F.first("block").alias("block")
     ).where("low <> high").select("s", "size", "block")
     # Near copies have many first shingles in common, a pair is wanted once: the most frequent ones of a block are
-    # marked, and a pair counts at the first of these it has in common (or, having none, at any other).
+    # marked, and a pair counts at the first of these it has in common (or, having none, at every other).
     nth = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("size"), "s")) - 1
     marks = mixed.withColumn("nth", nth).where(F.col("nth") < MARKS).select("s", "nth")
     open_rows = stored(placed.drop("block").join(mixed.select("s"), "s").join(marks, "s", "left"), "open-rows")
