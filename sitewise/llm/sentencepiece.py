@@ -182,18 +182,28 @@ class Pieces:
         return np.concatenate(parts)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        split = [self.words(t or "") for t in texts]
-        table = self.encode_words([w for words in split for w in words])
-        number = {w: i for i, w in enumerate(table)}
+        number: dict[str, int] = {}
+        counts: list[int] = []
+
+        def numbered():
+            # A text's words go when they have their numbers.
+            for t in texts:
+                words = self.words(t or "")
+                counts.append(len(words))
+                for w in words:
+                    yield number.setdefault(w, len(number))
+
+        which = np.fromiter(numbered(), np.int64)
+        table = self.encode_words(list(number))
+        found = [table[w] for w in number]
         # One gather for all texts: the ids of each word in turn.
-        sizes = np.array([len(x) for x in table.values()], np.int64)
+        sizes = np.array([len(x) for x in found], np.int64)
         first = np.cumsum(sizes) - sizes
-        known = np.concatenate([np.empty(0, np.int32), *table.values()]).astype(np.int32)
-        which = np.fromiter((number[w] for words in split for w in words), np.int64)
+        known = np.concatenate([np.empty(0, np.int32), *found]).astype(np.int32)
         own = sizes[which]
         ends = np.cumsum(own)
         flat = known[np.repeat(first[which] - ends + own, own) + np.arange(own.sum())]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)].tolist()
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)].tolist()
         return [
             None if t is None else flat[a:b] for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)
         ]
@@ -234,38 +244,48 @@ def _slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000):
         yield batch.slice(start)
 
 
+def _with_ids(batches, pieces: Pieces, text: str, ids: str):
+    for whole in batches:
+        for batch in _slices(whole, text):
+            column = _lists(pieces.encode(batch.column(text).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
+
+
+def _with_text(batches, pieces: Pieces, ids: str, text: str):
+    for batch in batches:
+        lists = batch.column(ids)
+        out = [pieces.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in lists]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, text])
+
+
+def _schema(kept: DataFrame, **fields: T.DataType) -> T.StructType:
+    return T.StructType([*kept.schema.fields, *(T.StructField(name, kind) for name, kind in fields.items())])
+
+
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     kept = docs.drop(ids)
-
-    def run(batches):
-        for whole in batches:
-            for batch in _slices(whole, text):
-                column = _lists(shared.value.encode(batch.column(text).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
-
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lambda batches: _with_ids(batches, shared.value, text, ids), _schema(kept, **{ids: T.ArrayType(T.IntegerType())}))
 
 
 def decode(tokens: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``tokens`` with the text of ``ids``."""
     shared = tokens.sparkSession.sparkContext.broadcast(pieces)
     kept = tokens.drop(text)
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(ids)
-            out = [shared.value.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, text])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())]))
+    return kept.mapInArrow(lambda batches: _with_text(batches, shared.value, ids, text), _schema(kept, **{text: T.StringType()}))
 
 
 def with_round_trip(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """``docs`` with ids, n_tokens and exact (the ids decode to the text)."""
-    done = decode(encode(docs, pieces, text), pieces, text="_decoded")
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    kept = docs.drop("ids", "_decoded")
+
+    def run(batches):
+        # encode and decode in one process: as two steps of a plan each task had two, which Spark keeps for later stages.
+        return _with_text(_with_ids(batches, shared.value, text, "ids"), shared.value, "ids", "_decoded")
+
+    done = kept.mapInArrow(run, _schema(kept, ids=T.ArrayType(T.IntegerType()), _decoded=T.StringType()))
     return done.select(
         *[c for c in done.columns if c not in ("_decoded", "n_tokens", "exact")],
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),

@@ -72,3 +72,27 @@ def test_round_trip_and_cases(spark, pieces):
 def test_documents_round_trip(spark, pieces):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert with_round_trip(df, pieces).where("not exact").count() == 0
+
+
+def test_round_trip_takes_one_python_process_a_task(spark, pieces):
+    """Two Python steps in one stage are two processes a task, which stay in the executor's memory."""
+    df = spark.createDataFrame([(1, "two words", "x")], "doc_id long, text string, _decoded string")
+    done = with_round_trip(df, pieces)
+    assert done._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    two = decode(encode(df, pieces), pieces).first()
+    one = done.first()
+    assert (one.ids, one.exact, two.decoded) == (two.ids, True, "two words")
+    assert done.columns == ["doc_id", "text", "ids", "n_tokens", "exact"]
+
+
+def test_words_are_numbered_text_by_text(pieces):
+    """Repeated words of a batch are not held each: a text's own go before the next text is split."""
+    import tracemalloc
+
+    texts = ["word " * 4_000] * 100
+    tracemalloc.start()
+    got = pieces.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((x == got[0]).all() for x in got) and pieces.decode(got[0].tolist()) == texts[0]
+    assert most < 32e6
